@@ -31,22 +31,23 @@ def _between(c: Column, dates: Dates) -> Column:
     return (c >= F.lit(since).cast("timestamp_ntz")) & (c < F.lit(until).cast("timestamp_ntz"))
 
 
-def _ticket_places(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per ticket with the location and organisation of its customer."""
-    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+def _order_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("sr_number"), F.col("o_custkey").alias("custkey")
+    )
+
+
+def _customer_places(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer with its location and organisation."""
     customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("o_orderkey").alias("sr_number"),
-            F.col("r_name").alias("level1"),
-            F.col("n_name").alias("level2"),
-            F.col("c_mktsegment").alias("organization_flag"),
-        )
+    return customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("custkey"),
+        F.col("r_name").alias("level1"),
+        F.col("n_name").alias("level2"),
+        F.col("c_mktsegment").alias("organization_flag"),
     )
 
 
@@ -54,7 +55,8 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     """Raw ticket events: ticket number, day, location, organisation."""
     return (
         _ship_events(spark, folder)
-        .join(_ticket_places(spark, folder), "sr_number")
+        .join(_order_customers(spark, folder), "sr_number")
+        .join(_customer_places(spark, folder), "custkey")
         .select("sr_number", F.to_date("created_at").alias("sys_created_date"), *LOCATION)
     )
 
@@ -76,7 +78,9 @@ def first_touch_star(spark: SparkSession, folder: str, dates: Dates = STAR_DATES
 
     The fact table is reduced to one row per ticket before it meets any dimension. The minimum of a
     date is a fixed-width hash aggregate with map-side combine, and its output is already
-    partitioned by the key of the join that follows.
+    partitioned by the key of the join with the orders. Only customer and day travel to the join
+    with the customers; location names are attached last. Spark broadcasts the customers while
+    their size allows and otherwise splits a hot customer with its adaptive skew join.
     """
     first = (
         _ship_events(spark, folder)
@@ -84,8 +88,10 @@ def first_touch_star(spark: SparkSession, folder: str, dates: Dates = STAR_DATES
         .groupBy("sr_number")
         .agg(F.min("created_at").alias("created_at"))
     )
-    return first.join(_ticket_places(spark, folder), "sr_number").select(
-        "sr_number", F.to_date("created_at").alias("sys_created_date"), *LOCATION
+    return (
+        first.join(_order_customers(spark, folder), "sr_number")
+        .join(_customer_places(spark, folder), "custkey")
+        .select("sr_number", F.to_date("created_at").alias("sys_created_date"), *LOCATION)
     )
 
 
