@@ -109,6 +109,7 @@ class Segment:
     sps: float
     mode: str
     country: str
+    tuner_country: str
     exported: bool
     cv_initial: bool
     cv_30_days: bool
@@ -117,26 +118,26 @@ class Segment:
 
 
 # One row per segment. Columns: name, region, country, excluded country, organisation,
-# one row per date, changepoint scale, seasonality scale, mode, holiday calendar, exported,
+# one row per date, changepoint scale, seasonality scale, mode, holiday calendar, the tuner's, exported,
 # generated cutoffs, 30-day RMSE grid, MAPE grid, search trials.
 SEGMENTS = (
-    Segment("emea_uk", None, "united_kingdom", None, None, True, 0.01, 8.0, "multiplicative", "UK", True, True, False, True, 500),
-    Segment("north_us", None, "united_states", None, None, True, 1.0, 6.0, "multiplicative", "US", True, True, False, True, 500),
-    Segment("north_no_us", None, "canada", None, None, True, 0.59, 3.0, "multiplicative", "CA", True, True, False, False, 100),
-    Segment("apac_china", None, "china", None, None, True, 0.065, 5.0, "multiplicative", "CN", True, True, True, True, 500),
-    Segment("apac_no_china", "apac", None, "china", None, True, 0.935, 1.5, "multiplicative", "CN", True, False, False, False, 100),
-    Segment("emea_no_uk", "emea", None, "united_kingdom", None, True, 0.95, 6.5, "multiplicative", "CN", True, False, False, False, 100),
-    Segment("brazil", None, "brazil", None, None, True, 1.0, 1.5, "multiplicative", "IE", True, True, False, True, 500),
-    Segment("latam_no_brazil", "latam", None, "brazil", None, True, 0.95, 6.5, "multiplicative", "CN", True, True, True, False, 100),
-    Segment("netherlands", None, "netherlands", None, None, True, 0.5, 9.0, "multiplicative", "NL", True, True, False, True, 500),
-    Segment("org_a", None, None, None, "org_a", True, 0.05, 10.0, "additive", "US", False, False, False, False, 0),
-    Segment("org_a_apac", "apac", None, None, None, False, 0.08, 9.0, "multiplicative", "CN", False, False, False, False, 500),
-    Segment("org_a_emea", "emea", None, None, "org_a", False, 0.01, 4.5, "additive", "UK", False, False, False, False, 500),
-    Segment("org_a_latam", "latam", None, None, None, False, 0.98, 6.5, "multiplicative", "BR", False, False, False, False, 100),
-    Segment("org_a_north", "north_america", None, None, "org_a", False, 1.0, 8.0, "multiplicative", "US", False, False, False, False, 500),
-    Segment("org_b", None, None, None, "org_b", True, 0.05, 10.0, "additive", "US", False, False, False, False, 0),
-    Segment("org_b_emea", "emea", None, None, "org_b", False, 0.325, 9.5, "multiplicative", "UK", False, False, False, False, 500),
-    Segment("org_b_north", "north_america", None, None, "org_b", False, 0.5, 2.5, "multiplicative", "US", False, False, False, False, 500),
+    Segment("emea_uk", None, "united_kingdom", None, None, True, 0.01, 8.0, "multiplicative", "UK", "US", True, True, False, True, 500),
+    Segment("north_us", None, "united_states", None, None, True, 1.0, 6.0, "multiplicative", "US", "US", True, True, False, True, 500),
+    Segment("north_no_us", None, "canada", None, None, True, 0.59, 3.0, "multiplicative", "CA", "CA", True, True, False, False, 100),
+    Segment("apac_china", None, "china", None, None, True, 0.065, 5.0, "multiplicative", "CN", "US", True, True, True, True, 500),
+    Segment("apac_no_china", "apac", None, "china", None, True, 0.935, 1.5, "multiplicative", "CN", "US", True, False, False, False, 100),
+    Segment("emea_no_uk", "emea", None, "united_kingdom", None, True, 0.95, 6.5, "multiplicative", "CN", "US", True, False, False, False, 100),
+    Segment("brazil", None, "brazil", None, None, True, 1.0, 1.5, "multiplicative", "IE", "US", True, True, False, True, 500),
+    Segment("latam_no_brazil", "latam", None, "brazil", None, True, 0.95, 6.5, "multiplicative", "CN", "US", True, True, True, False, 100),
+    Segment("netherlands", None, "netherlands", None, None, True, 0.5, 9.0, "multiplicative", "NL", "US", True, True, False, True, 500),
+    Segment("org_a", None, None, None, "org_a", True, 0.05, 10.0, "additive", "US", "US", False, False, False, False, 0),
+    Segment("org_a_apac", "apac", None, None, None, False, 0.08, 9.0, "multiplicative", "CN", "US", False, False, False, False, 500),
+    Segment("org_a_emea", "emea", None, None, "org_a", False, 0.01, 4.5, "additive", "UK", "US", False, False, False, False, 500),
+    Segment("org_a_latam", "latam", None, None, None, False, 0.98, 6.5, "multiplicative", "BR", "US", False, False, False, False, 100),
+    Segment("org_a_north", "north_america", None, None, "org_a", False, 1.0, 8.0, "multiplicative", "US", "US", False, False, False, False, 500),
+    Segment("org_b", None, None, None, "org_b", True, 0.05, 10.0, "additive", "US", "US", False, False, False, False, 0),
+    Segment("org_b_emea", "emea", None, None, "org_b", False, 0.325, 9.5, "multiplicative", "UK", "US", False, False, False, False, 500),
+    Segment("org_b_north", "north_america", None, None, "org_b", False, 0.5, 2.5, "multiplicative", "US", "US", False, False, False, False, 500),
 )
 
 # Tuning grid and search space.
