@@ -283,3 +283,12 @@ def changepoint_deltas(inputs: DataFrame, fits: DataFrame) -> DataFrame:
     pairs = F.inline(F.arrays_zip(F.col("points").alias("ds"), F.col("deltas").alias("delta")))
     changes = inputs.join(fits, WINDOW).select(*WINDOW, "param_id", pairs)
     return changes.withColumn("significant", F.abs("delta") >= F.lit(SIGNIFICANT))
+
+
+def long_coefficients(fits: DataFrame) -> DataFrame:
+    """One row per coefficient, numbered from 0 within trend and season."""
+
+    def listed(part: str) -> Column:
+        return F.transform(F.col(f"{part}_beta"), lambda v, i: F.struct(F.lit(part).alias("part"), i.alias("position"), v.alias("beta")))
+
+    return fits.select(*WINDOW, "mode", "sigma", F.inline(F.concat(listed("trend"), listed("season"))))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.numbers import rounded
 from tidecast.operators import backtest, features, forecast
-from tidecast.plans import sql
-from tidecast.plans.modelling import OBSERVED, YEARS, settled_days, whole_history
+from tidecast.plans import model_sql, sql
+from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, YEARS, settled_days, whole_history
 from tidecast.session import settle
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, setting_of
 
+# Model results pass through chains of solves; they are compared to four digits.
+DIGITS = 4
 CV_SEGMENTS = [s.name for s in SEGMENTS if s.cv_initial]
 GRID_SEGMENTS = [s.name for s in SEGMENTS if s.grid]
 SHORT_SEGMENTS = [s.name for s in SEGMENTS if s.cv_30_days]
@@ -19,6 +21,10 @@ TUNED_SEGMENTS = [s.name for s in SEGMENTS if s.trials]
 SEARCH_BATCHES = 2
 
 
+def _r(name: str) -> Column:
+    return rounded(F.col(name), DIGITS).alias(name)
+
+
 def _only(days: DataFrame, names: list[str]) -> DataFrame:
     return days.filter(F.col("segment").isin(names))
 
@@ -42,33 +48,31 @@ def whole_forecast(spark: SparkSession, days: DataFrame) -> DataFrame:
 
 
 def forecast_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients in long form: trend (level, slope, changes), then season (weekly, yearly, holidays)."""
     _, fits = _whole_fit(spark, settled_days(spark, folder))
-    rounded_all = [F.transform(c, lambda v: rounded(v)).alias(c) for c in ("trend_beta", "season_beta")]
-    return fits.select("segment", "mode", rounded(F.col("sigma")).alias("sigma"), *rounded_all)
+    long = forecast.long_coefficients(fits)
+    return long.select("segment", "mode", "part", "position", _r("sigma"), _r("beta"))
 
 
 def forecast_180(spark: SparkSession, folder: str) -> DataFrame:
     found = whole_forecast(spark, settled_days(spark, folder))
-    return found.select("segment", "ds", "future", rounded(F.col("yhat")).alias("yhat"))
+    return found.select("segment", "ds", "future", _r("yhat"))
 
 
 def forecast_components(spark: SparkSession, folder: str) -> DataFrame:
     found = whole_forecast(spark, settled_days(spark, folder))
-    parts = [rounded(F.col(c)).alias(c) for c in ("trend", "weekly", "yearly", "holidays")]
+    parts = [_r(c) for c in ("trend", "weekly", "yearly", "holidays")]
     return found.select("segment", "ds", "mode", *parts)
 
 
 def forecast_bands(spark: SparkSession, folder: str) -> DataFrame:
     found = whole_forecast(spark, settled_days(spark, folder))
-    parts = [rounded(F.col(c)).alias(c) for c in ("yhat", "yhat_lower", "yhat_upper")]
-    return found.select("segment", "ds", *parts)
+    return found.select("segment", "ds", _r("yhat"), _r("yhat_lower"), _r("yhat_upper"))
 
 
 def changepoint_deltas(spark: SparkSession, folder: str) -> DataFrame:
     inputs, fits = _whole_fit(spark, settled_days(spark, folder))
-    return forecast.changepoint_deltas(inputs, fits).select(
-        "segment", "ds", rounded(F.col("delta")).alias("delta"), "significant"
-    )
+    return forecast.changepoint_deltas(inputs, fits).select("segment", "ds", _r("delta"), "significant")
 
 
 def cv_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,19 +110,19 @@ def _cv_generated(spark: SparkSession, folder: str) -> DataFrame:
 
 def cv_forecast(spark: SparkSession, folder: str) -> DataFrame:
     cv = _cv_generated(spark, folder)
-    return cv.select("segment", "cutoff", "ds", "y", rounded(F.col("yhat")).alias("yhat"))
+    return cv.select("segment", "cutoff", "ds", "y", _r("yhat"))
 
 
 def cv_forecast_fixed(spark: SparkSession, folder: str) -> DataFrame:
     days = _only(settled_days(spark, folder), CV_SEGMENTS)
     cutoffs = backtest.fixed_cutoffs(days, STAR_DATES.cutoffs)
     cv = _cv_model(spark, days, cutoffs, backtest.HORIZON)
-    return cv.select("segment", "cutoff", "ds", "y", rounded(F.col("yhat")).alias("yhat"))
+    return cv.select("segment", "cutoff", "ds", "y", _r("yhat"))
 
 
 def cv_model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Overall error measures of the tuned model's back-test."""
-    return _rounded(backtest.overall_metrics(_cv_generated(spark, folder)))
+    return _rounded(backtest.overall_metrics(_cv_generated(spark, folder)), DIGITS)
 
 
 def _line_cv(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,9 +134,9 @@ def _line_cv(spark: SparkSession, folder: str) -> DataFrame:
 METRICS = ("mse", "rmse", "mae", "mape", "mdape", "smape", "coverage")
 
 
-def _rounded(metrics: DataFrame) -> DataFrame:
+def _rounded(metrics: DataFrame, digits: int = 6) -> DataFrame:
     keys = [c for c in metrics.columns if c not in METRICS]
-    return metrics.select(*keys, *[rounded(F.col(m)).alias(m) for m in METRICS])
+    return metrics.select(*keys, *[rounded(F.col(m), digits).alias(m) for m in METRICS])
 
 
 def cv_metrics_by_horizon(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +176,7 @@ def _grid_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
     scores = _grid_scores(spark, folder)
-    return scores.select("segment", "param_id", "cps", "sps", rounded(F.col("mape")).alias("mape"))
+    return scores.select("segment", "param_id", "cps", "sps", _r("mape"))
 
 
 def grid_search_rmse(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,12 +186,12 @@ def grid_search_rmse(spark: SparkSession, folder: str) -> DataFrame:
     rows = backtest.without_holidays(backtest.model_rows(_seasonal(days), cutoffs, backtest.SHORT_HORIZON))
     settings = backtest.grid_settings(days.select("segment").distinct())
     scores = backtest.tuning_scores(settle(rows), settings, 1)
-    return scores.select("segment", "param_id", "cps", "sps", rounded(F.col("rmse")).alias("rmse"))
+    return scores.select("segment", "param_id", "cps", "sps", _r("rmse"))
 
 
 def best_params(spark: SparkSession, folder: str) -> DataFrame:
     best = backtest.best_setting(_grid_scores(spark, folder), "mape")
-    return best.select("segment", "param_id", "cps", "sps", rounded(F.col("mape")).alias("mape"))
+    return best.select("segment", "param_id", "cps", "sps", _r("mape"))
 
 
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +201,7 @@ def random_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = settle(backtest.model_rows(_seasonal(days, "tuner_country"), cutoffs, backtest.HORIZON))
     settings = settle(backtest.sampled_settings(days.select("segment").distinct()))
     best = backtest.best_setting(backtest.tuning_scores(rows, settings, SEARCH_BATCHES), "mape")
-    return best.select("segment", "param_id", "cps", "sps", "mode", rounded(F.col("mape")).alias("mape"))
+    return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))
 
 
 QUERIES = {
@@ -232,14 +236,14 @@ def _cutoffs(initial: int) -> str:
     return (
         OBSERVED
         + f""",
-days AS (SELECT DISTINCT segment, ds FROM observed),
-span AS (SELECT segment, min(ds) AS lo, max(ds) AS hi FROM days GROUP BY segment),
+cut_days AS (SELECT DISTINCT segment, ds FROM observed),
+cut_span AS (SELECT segment, min(ds) AS lo, max(ds) AS hi FROM cut_days GROUP BY segment),
 ladder AS (
-  SELECT segment, lo, CAST(hi - 90 AS DATE) AS cutoff FROM span
+  SELECT segment, lo, CAST(hi - 90 AS DATE) AS cutoff FROM cut_span
   UNION ALL
-  SELECT s.segment, s.lo, CAST(CASE WHEN s.next > s.lo AND NOT EXISTS (SELECT 1 FROM days d WHERE d.segment = s.segment
+  SELECT s.segment, s.lo, CAST(CASE WHEN s.next > s.lo AND NOT EXISTS (SELECT 1 FROM cut_days d WHERE d.segment = s.segment
         AND d.ds > s.next AND d.ds <= s.next + 90)
-      THEN (SELECT max(ds) FROM days d WHERE d.segment = s.segment AND d.ds <= s.next) - 90 ELSE s.next END AS DATE)
+      THEN (SELECT max(ds) FROM cut_days d WHERE d.segment = s.segment AND d.ds <= s.next) - 90 ELSE s.next END AS DATE)
   FROM (SELECT segment, lo, CAST(cutoff - 90 AS DATE) AS next FROM ladder WHERE cutoff >= lo + {initial}) s),
 cutoffs AS (SELECT segment, cutoff FROM ladder WHERE cutoff >= lo + {initial})"""
     )
@@ -335,3 +339,111 @@ cutoffs AS (SELECT segment, cutoff FROM (SELECT segment, min(ds) AS lo FROM obse
            FROM names, range(0, 199) a(i), range(0, 20) b(j), (VALUES (0, 'multiplicative'), (1, 'additive')) m(k, mode)""",
     ),
 }
+
+
+def _d(expr: str) -> str:
+    return sql.rnd(expr, DIGITS)
+
+
+def _listed(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _cv_groups(names: list[str]) -> str:
+    return f"""SELECT segment || ' ' || cutoff AS gid, segment, cutoff, country FROM cutoffs JOIN {COUNTRY_OF} USING (segment)
+      WHERE segment IN {_listed(names)}"""
+
+
+_CV_PARAMS = f"""SELECT gid AS sid, gid, 0 AS param_id, cps, sps, mode FROM groups JOIN {model_sql.TUNED} USING (segment)"""
+
+
+def _test_days(horizon: int) -> str:
+    return f"""SELECT DISTINCT gid, ds FROM groups g JOIN observed o ON o.segment = g.segment
+      AND o.ds > g.cutoff AND o.ds <= g.cutoff + {horizon}"""
+
+
+_FIXED = """,
+cutoffs AS (SELECT segment, cutoff FROM (SELECT segment, min(ds) AS lo FROM observed GROUP BY 1),
+  (VALUES (DATE '2001-03-01'), (DATE '2001-01-01'), (DATE '2000-10-01')) c(cutoff) WHERE lo <= cutoff)"""
+
+
+def _cv(cutoffs: str) -> str:
+    fits = model_sql.model(_cv_groups(CV_SEGMENTS), _CV_PARAMS, _test_days(90), cutoffs=cutoffs)
+    return fits + """,
+cv AS (SELECT segment, cutoff, ds, o.y, yhat, sigma FROM predicted JOIN observed o USING (segment, ds)),
+errors AS (SELECT *, (y - yhat) * (y - yhat) AS se, abs(y - yhat) AS ae, abs(y - yhat) / nullif(abs(y), 0) AS ape,
+             abs(y - yhat) / nullif((abs(y) + abs(yhat)) / 2, 0) AS sape,
+             CAST(CASE WHEN abs(y - yhat) <= CAST(1.2815515655446004 AS DOUBLE) * sigma THEN 1 ELSE 0 END AS DOUBLE) AS inside FROM cv)"""
+
+
+def _grid(names: list[str], cutoffs: str, horizon: int) -> str:
+    params = f"""SELECT gid || ' ' || (cps_i * 4 + sps_i) AS sid, gid, CAST(cps_i * 4 + sps_i AS INTEGER) AS param_id, cps, sps, 'additive' AS mode
+      FROM groups, {_axis((0.001, 0.01, 0.1, 0.5), 'cps')}, {_axis((0.01, 0.1, 1.0, 10.0), 'sps')}"""
+    fits = model_sql.model(
+        _cv_groups(names), params, _test_days(horizon), holidays=False, modes=("additive",), cutoffs=cutoffs
+    )
+    return fits + """,
+scores AS (SELECT segment, p.param_id, any_value(cps) AS cps, any_value(sps) AS sps, avg(abs(o.y - yhat) / o.y) AS mape,
+             sqrt(avg((o.y - yhat) * (o.y - yhat))) AS rmse
+           FROM predicted p JOIN observed o USING (segment, ds) JOIN (SELECT DISTINCT param_id, cps, sps FROM params) q
+             ON q.param_id = p.param_id GROUP BY ALL)"""
+
+
+def _generated(initial: int) -> str:
+    return _cutoffs(initial).removeprefix(OBSERVED)
+
+
+def _scores(metric: str) -> str:
+    return f"SELECT segment, param_id, cps, sps, {_d(metric)} AS {metric} FROM scores"
+
+
+_WHOLE = model_sql.whole()
+
+ORACLE.update(
+    {
+        "forecast_fit": sql.query(
+            _WHOLE,
+            f"""SELECT segment, mode, part, CAST(position AS INTEGER) AS position, {_d('sigma')} AS sigma, {_d('beta')} AS beta FROM (
+                SELECT segment, mode, 'trend' AS part, sigma, unnest(range(len(trend_beta))) AS position, unnest(trend_beta) AS beta FROM fits
+                UNION ALL
+                SELECT segment, mode, 'season', sigma, unnest(range(len(season_beta))), unnest(season_beta) FROM fits)""",
+            recursive=True,
+        ),
+        "forecast_180": sql.query(
+            _WHOLE, f"SELECT segment, ds, ds > cutoff AS future, {_d('yhat')} AS yhat FROM predicted", recursive=True
+        ),
+        "forecast_components": sql.query(
+            _WHOLE,
+            f"""SELECT segment, ds, mode, {_d('trend')} AS trend, {_d('weekly')} AS weekly, {_d('yearly')} AS yearly,
+                  {_d('holidays')} AS holidays FROM predicted""",
+            recursive=True,
+        ),
+        "forecast_bands": sql.query(
+            _WHOLE,
+            f"""SELECT segment, ds, {_d('yhat')} AS yhat, {_d(f'yhat - {model_sql.BAND} * sigma')} AS yhat_lower,
+                  {_d(f'yhat + {model_sql.BAND} * sigma')} AS yhat_upper FROM predicted""",
+            recursive=True,
+        ),
+        "changepoint_deltas": sql.query(
+            _WHOLE,
+            f"""SELECT segment, ds, {_d('delta')} AS delta, abs(delta) >= 0.01 AS significant FROM (
+                  SELECT segment, unnest(points) AS ds, unnest(a[3:len(a)]) AS delta FROM fits JOIN points USING (gid))""",
+            recursive=True,
+        ),
+        "cv_forecast": sql.query(
+            _cv(_generated(180)), f"SELECT segment, cutoff, ds, y, {_d('yhat')} AS yhat FROM cv", recursive=True
+        ),
+        "cv_forecast_fixed": sql.query(
+            _cv(_FIXED), f"SELECT segment, cutoff, ds, y, {_d('yhat')} AS yhat FROM cv", recursive=True
+        ),
+        "cv_model_metrics": sql.query(_cv(_generated(180)), _OVERALL.replace(", 6)", f", {DIGITS})"), recursive=True),
+        "grid_search": sql.query(_grid(GRID_SEGMENTS, _generated(366), 90), _scores("mape"), recursive=True),
+        "grid_search_rmse": sql.query(_grid(SHORT_SEGMENTS, _FIXED, 30), _scores("rmse"), recursive=True),
+        "best_params": sql.query(
+            _grid(GRID_SEGMENTS, _generated(366), 90),
+            f"""SELECT segment, param_id, cps, sps, {_d('score')} AS mape FROM (SELECT * RENAME (mape AS score) FROM scores)
+                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score, param_id) = 1""",
+            recursive=True,
+        ),
+    }
+)

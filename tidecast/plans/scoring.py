@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidecast.functions.numbers import rounded
 from tidecast.operators import scoring
 from tidecast.operators import series as ops
-from tidecast.plans import sql
-from tidecast.plans.forecasting import whole_forecast
+from tidecast.plans import model_sql, sql
+from tidecast.plans.forecasting import DIGITS, whole_forecast
 from tidecast.session import new_output_dir, settle
 from tidecast.sources import tickets as src
 from tidecast.sources.files import read_csv, write_csv
@@ -24,8 +24,8 @@ EXPORTED = tuple(s for s in SEGMENTS if s.exported)
 NAMES = exported_names()
 
 
-def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[rounded(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*[rounded(F.col(c), digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def _settled_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,11 +127,11 @@ def export_month(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_accuracy_by_day(spark: SparkSession, folder: str) -> DataFrame:
     results = _model_results(spark, _settled_daily(spark, folder))
-    return _round(results, "yhat", "accuracy_by_day")
+    return _round(results, "yhat", "accuracy_by_day", digits=DIGITS)
 
 
 def model_mean_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(scoring.mean_accuracy(_model_results(spark, _settled_daily(spark, folder))), "accuracy")
+    return _round(scoring.mean_accuracy(_model_results(spark, _settled_daily(spark, folder))), "accuracy", digits=DIGITS)
 
 
 def _model_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,11 +140,11 @@ def _model_daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_reconcile_daily(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(_model_daily(spark, folder), *ERRORS)
+    return _round(_model_daily(spark, folder), *ERRORS, digits=DIGITS)
 
 
 def model_reconcile_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(scoring.reconcile_monthly(_model_daily(spark, folder)), *ERRORS)
+    return _round(scoring.reconcile_monthly(_model_daily(spark, folder)), *ERRORS, digits=DIGITS)
 
 
 QUERIES = {
@@ -186,14 +186,22 @@ compared AS (SELECT s.segment, s.ds, s.y, CASE WHEN f.yhat < 0 THEN 0.0 ELSE f.y
 results AS (SELECT *, 1 - abs(y / nullif(yhat, 0)) AS accuracy_by_day FROM compared
             WHERE y / nullif(yhat, 0) IS NOT NULL),
 totals AS (SELECT sys_created_date AS ds, CAST(sum(unique_tickets) AS DOUBLE) AS unique_tickets FROM daily GROUP BY 1),
-predicted AS (SELECT ds, sum(yhat) AS predictions FROM results GROUP BY ds),
+summed AS (SELECT ds, sum(yhat) AS predictions FROM results GROUP BY ds),
 by_day AS (SELECT *, (unique_tickets - predictions) / nullif(unique_tickets, 0) AS percent_error FROM (
-             SELECT ds, unique_tickets, coalesce(predictions, 0.0) AS predictions FROM totals LEFT JOIN predicted USING (ds))),
+             SELECT ds, unique_tickets, coalesce(predictions, 0.0) AS predictions FROM totals LEFT JOIN summed USING (ds))),
 by_month AS (SELECT *, (unique_tickets - predictions) / nullif(unique_tickets, 0) AS percent_error FROM (
              SELECT CAST(date_trunc('month', ds) AS DATE) AS year_month, sum(unique_tickets) AS unique_tickets,
                sum(predictions) AS predictions FROM by_day GROUP BY 1))""".format(exported=sql.EXPORTED)
 _LINE = LINE_FORECAST + RESULTS
-RESULT_ROWS = f"SELECT segment, ds, y, {sql.rnd('yhat')} AS yhat, {sql.rnd('accuracy_by_day')} AS accuracy_by_day FROM results"
+_MODEL = model_sql.whole() + ",\nforecast AS (SELECT segment, ds, yhat FROM predicted)" + RESULTS
+
+
+def _result_rows(digits: int = 6) -> str:
+    return f"""SELECT segment, ds, y, {sql.rnd('yhat', digits)} AS yhat,
+      {sql.rnd('accuracy_by_day', digits)} AS accuracy_by_day FROM results"""
+
+
+RESULT_ROWS = _result_rows()
 
 
 def _mape(table: str) -> str:
@@ -201,9 +209,10 @@ def _mape(table: str) -> str:
       CAST(count(*) FILTER (percent_error IS NULL) AS BIGINT) AS n_skipped FROM {table}"""
 
 
-def error_rows(key: str, table: str) -> str:
-    return f"""SELECT {key}, unique_tickets, {sql.rnd('predictions')} AS predictions, {sql.rnd('percent_error')} AS percent_error,
-      {sql.rnd('abs(percent_error)')} AS abs_percent_error FROM {table}"""
+def error_rows(key: str, table: str, digits: int = 6) -> str:
+    return f"""SELECT {key}, unique_tickets, {sql.rnd('predictions', digits)} AS predictions,
+      {sql.rnd('percent_error', digits)} AS percent_error,
+      {sql.rnd('abs(percent_error)', digits)} AS abs_percent_error FROM {table}"""
 
 
 ORACLE = {
@@ -234,10 +243,18 @@ ORACLE = {
         + ", ".join(f"{sql.rnd(f'''max(yhat) FILTER (segment = '{s}')''')} AS yhat_{s}" for s in NAMES)
         + " FROM totals LEFT JOIN results USING (ds) GROUP BY ds, unique_tickets",
     ),
-    "bottom_up_daily": sql.query(_LINE, f"SELECT ds, {sql.rnd('predictions')} AS predictions FROM predicted"),
+    "bottom_up_daily": sql.query(_LINE, f"SELECT ds, {sql.rnd('predictions')} AS predictions FROM summed"),
     "reconcile_daily": sql.query(_LINE, error_rows("ds", "by_day")),
     "mape_daily": sql.query(_LINE, _mape("by_day")),
     "reconcile_monthly": sql.query(_LINE, error_rows("year_month", "by_month")),
     "mape_monthly": sql.query(_LINE, _mape("by_month")),
     "export_month": sql.query(_LINE, error_rows("year_month", "by_month")),
+    "model_accuracy_by_day": sql.query(_MODEL, _result_rows(DIGITS), recursive=True),
+    "model_mean_accuracy": sql.query(
+        _MODEL,
+        f"SELECT segment, {sql.rnd('avg(accuracy_by_day)', DIGITS)} AS accuracy FROM results GROUP BY segment",
+        recursive=True,
+    ),
+    "model_reconcile_daily": sql.query(_MODEL, error_rows("ds", "by_day", DIGITS), recursive=True),
+    "model_reconcile_monthly": sql.query(_MODEL, error_rows("year_month", "by_month", DIGITS), recursive=True),
 }
