@@ -279,9 +279,11 @@ def without_holidays(rows: DataFrame) -> DataFrame:
     return rows.withColumn("season", F.slice("season", 1, N_WEEKLY + N_YEARLY))
 
 
-def model_rows(days: DataFrame, cutoffs: DataFrame, horizon: int) -> DataFrame:
+def model_rows(days: DataFrame, cutoffs: DataFrame, horizon: int, inputs: DataFrame | None = None) -> DataFrame:
     """Window rows with all regressors. ``days`` carries its ``season`` already."""
-    return forecast.with_trend(windows(days, cutoffs, horizon), forecast.trend_inputs(days, cutoffs))
+    if inputs is None:
+        inputs = forecast.trend_inputs(days.drop("season", "country"), cutoffs)
+    return forecast.with_trend(windows(days, cutoffs, horizon), inputs)
 
 
 def tuning_scores(rows: DataFrame, settings: DataFrame, batches: int) -> DataFrame:

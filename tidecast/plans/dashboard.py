@@ -9,11 +9,11 @@ from tidecast.functions.dates import WEEKDAYS
 from tidecast.functions.numbers import rounded
 from tidecast.operators import reports
 from tidecast.plans import sql
+from tidecast.session import new_output_dir, settle
 from tidecast.sources import tickets as src
 from tidecast.sources.files import read_csv, write_csv
 from tidecast.sources.registry import STAR_DATES, STAR_LABELS
 from tidecast.sources.schemas import DAILY_LOCATION
-from tidecast.session import new_output_dir
 
 REGIONS = [
     STAR_LABELS.apac,
@@ -132,7 +132,7 @@ def pivot_top5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stacked_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.stacked_offsets(reports.top_countries_per_day(_days(spark, folder)))
+    return reports.stacked_offsets(settle(reports.top_countries_per_day(_days(spark, folder))))
 
 
 def axis_bound(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,8 +36,9 @@ def _seasonal(days: DataFrame, calendar: str = "country") -> DataFrame:
 def _whole_fit(spark: SparkSession, days: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trend inputs and the fit of every segment on its whole history with its own setting."""
     cutoffs = whole_history(days)
-    rows = backtest.model_rows(_seasonal(days), cutoffs, 0)
-    return forecast.trend_inputs(days, cutoffs), settle(forecast.fit(rows, backtest.tuned_settings(spark)))
+    inputs = settle(forecast.trend_inputs(days, cutoffs))
+    rows = backtest.model_rows(_seasonal(days), cutoffs, 0, inputs)
+    return inputs, forecast.fit(rows, backtest.tuned_settings(spark))
 
 
 def whole_forecast(spark: SparkSession, days: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ def build_session(cpus: str | int = "*", app: str = "tidecast") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -50,12 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: a small derived frame used several times is computed once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_output_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for a written table, below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a small derived frame to the shared folder and reads it back.
+
+    A frame used several times is so computed once and survives the loss of an executor. Unlike a
+    checkpoint it is written in the same pass that computes it, prunes columns when read, and has a
+    known size, which lets Spark broadcast it where that is safe.
+    """
+    path = new_output_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

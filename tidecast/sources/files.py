@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidecast.sources.schemas import STAR
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(STAR[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -4,6 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+def _fields(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+# The columns read from the star-schema tables. A given schema saves the footer scan per table.
+STAR = {
+    "lineitem": _fields(l_orderkey=T.LongType(), l_shipdate=T.TimestampNTZType()),
+    "orders": _fields(o_orderkey=T.LongType(), o_custkey=T.LongType()),
+    "customer": _fields(c_custkey=T.LongType(), c_nationkey=T.IntegerType(), c_mktsegment=T.StringType()),
+    "nation": _fields(n_nationkey=T.IntegerType(), n_name=T.StringType(), n_regionkey=T.IntegerType()),
+    "region": _fields(r_regionkey=T.IntegerType(), r_name=T.StringType()),
+}
+
 DAILY_LOCATION = T.StructType(
     [
         T.StructField("sys_created_date", T.DateType()),

@@ -39,9 +39,9 @@ def _order_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _customer_places(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer with its location and organisation."""
-    customer = read_table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = read_table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = read_table(spark, folder, "region").select("r_regionkey", "r_name")
+    customer = read_table(spark, folder, "customer")
+    nation = read_table(spark, folder, "nation")
+    region = read_table(spark, folder, "region")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("custkey"),
