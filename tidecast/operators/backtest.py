@@ -177,17 +177,19 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
         "segment", "horizon", "n", *names, size.alias("w"),
         F.sum("n").over(upto).alias("cum_n"), *[F.sum(n).over(upto).alias(f"cum_{n}") for n in names],
     )
-    left = sums.filter(F.col("cum_n") >= F.col("w")).select(
-        "segment", "horizon", "w", (F.col("cum_n") - F.col("w")).alias("skip"), "cum_n", *[f"cum_{n}" for n in names]
-    )
-    right = sums.select(
-        "segment", (F.col("cum_n") - F.col("n")).alias("from_n"), F.col("cum_n").alias("to_n"), F.col("n").alias("day_n"),
-        *[F.col(f"cum_{n}").alias(f"to_{n}") for n in names], *[F.col(n).alias(f"day_{n}") for n in names],
-    )
-    met = left.join(right, "segment").filter((F.col("skip") >= F.col("from_n")) & (F.col("skip") < F.col("to_n")))
+    # Each day enters twice on one axis of row counts: as a known sum and as a question about the sum
+    # w rows earlier. The next known sum after a question answers it; no pairs of days are formed.
+    known = F.struct(F.lit(0).alias("kind"), F.col("cum_n").alias("at"))
+    asked = F.struct(F.lit(1).alias("kind"), (F.col("cum_n") - F.col("w")).alias("at"))
+    marks = sums.withColumn("mark", F.explode(F.array(known, asked))).filter(F.col("mark.at") >= 0)
+    after = Window.partitionBy("segment").orderBy("mark.at", "mark.kind").rowsBetween(1, Window.unboundedFollowing)
+    day = F.struct("n", "cum_n", *names, *[f"cum_{n}" for n in names])
+    answer = F.first(F.when(F.col("mark.kind") == 0, day), ignorenulls=True).over(after)
+    met = marks.withColumn("day", answer).filter(F.col("mark.kind") == 1)
 
     def mean(n: str) -> Column:
-        before = F.col(f"to_{n}") - F.col(f"day_{n}") * (F.col("to_n") - F.col("skip")) / F.col("day_n")
+        missing = F.col(f"day.{n}") * (F.col("day.cum_n") - F.col("mark.at")) / F.col("day.n")
+        before = F.col(f"day.cum_{n}") - missing
         return (F.col(f"cum_{n}") - before) / F.col("w")
 
     return met.select(

@@ -214,8 +214,7 @@ def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema:
     and not the bytes: an explicit partition count is not coalesced by adaptive execution.
     """
     keys = [*WINDOW, "batch"]
-    spark = rows.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = rows.sparkSession.sparkContext.defaultParallelism * 2
     numbers = F.sequence(F.lit(0), F.lit(batches - 1))
     days = rows.select(*WINDOW, "ds", "ys", "is_train", "trend", "season", F.explode(numbers).alias("batch"))
     # The second side comes from the first: new key names keep the two apart.

@@ -96,9 +96,20 @@ def cv_windows_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.window_summary(backtest.windows(days, cutoffs))
 
 
+def _windows(days: DataFrame, cutoffs: DataFrame, horizon: int, calendar: str = "country") -> DataFrame:
+    """Back-test rows with regressors.
+
+    Cutoffs and trend inputs, a few values per window, are settled; the rows are not, as their regressors are
+    cheap to form again and many times larger than what they are formed from.
+    """
+    cutoffs = settle(cutoffs)
+    inputs = settle(forecast.trend_inputs(days, cutoffs))
+    return backtest.model_rows(_seasonal(days, calendar), cutoffs, horizon, inputs)
+
+
 def _cv_model(spark: SparkSession, days: DataFrame, cutoffs: DataFrame, horizon: int) -> DataFrame:
     """Out-of-sample forecasts of the tuned model with its band, one row per observation."""
-    rows = settle(backtest.model_rows(_seasonal(days), settle(cutoffs), horizon))
+    rows = _windows(days, cutoffs, horizon)
     fits = forecast.fit(rows, backtest.tuned_settings(spark))
     test = forecast.components(rows.filter(~F.col("is_train")), fits)
     return test.select("segment", "cutoff", "ds", F.explode("ys").alias("y"), "yhat", "yhat_lower", "yhat_upper")
@@ -169,10 +180,10 @@ def search_space(spark: SparkSession, folder: str) -> DataFrame:
 
 def _grid_scores(spark: SparkSession, folder: str) -> DataFrame:
     days = _only(settled_days(spark, folder), GRID_SEGMENTS)
-    cutoffs = settle(backtest.generated_cutoffs(days, backtest.GRID_INITIAL))
-    rows = backtest.without_holidays(backtest.model_rows(_seasonal(days), cutoffs, backtest.HORIZON))
+    cutoffs = backtest.generated_cutoffs(days, backtest.GRID_INITIAL)
+    rows = backtest.without_holidays(_windows(days, cutoffs, backtest.HORIZON))
     settings = backtest.grid_settings(days.select("segment").distinct())
-    return backtest.tuning_scores(settle(rows), settings, 1)
+    return backtest.tuning_scores(rows, settings, 1)
 
 
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,9 +195,9 @@ def grid_search_rmse(spark: SparkSession, folder: str) -> DataFrame:
     """The same grid scored by RMSE on the fixed cutoffs, thirty days ahead."""
     days = _only(settled_days(spark, folder), SHORT_SEGMENTS)
     cutoffs = backtest.fixed_cutoffs(days, STAR_DATES.cutoffs)
-    rows = backtest.without_holidays(backtest.model_rows(_seasonal(days), cutoffs, backtest.SHORT_HORIZON))
+    rows = backtest.without_holidays(_windows(days, cutoffs, backtest.SHORT_HORIZON))
     settings = backtest.grid_settings(days.select("segment").distinct())
-    scores = backtest.tuning_scores(settle(rows), settings, 1)
+    scores = backtest.tuning_scores(rows, settings, 1)
     return scores.select("segment", "param_id", "cps", "sps", _r("rmse"))
 
 
@@ -199,7 +210,7 @@ def random_search(spark: SparkSession, folder: str) -> DataFrame:
     """Best of each segment's sampled settings by MAPE on the six-cutoff ladder."""
     days = _only(settled_days(spark, folder), TUNED_SEGMENTS)
     cutoffs = backtest.ladder_cutoffs(days)
-    rows = settle(backtest.model_rows(_seasonal(days, "tuner_country"), cutoffs, backtest.HORIZON))
+    rows = _windows(days, cutoffs, backtest.HORIZON, "tuner_country")
     settings = settle(backtest.sampled_settings(days.select("segment").distinct()))
     best = backtest.best_setting(backtest.tuning_scores(rows, settings, SEARCH_BATCHES), "mape")
     return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))

@@ -12,7 +12,9 @@ from tidecast.operators import series as ops
 from tidecast.plans import sql
 from tidecast.session import settle
 from tidecast.sources import tickets as src
-from tidecast.sources.registry import SEGMENTS, STAR_DATES, setting_of
+from tidecast.sources.files import literal_table
+from tidecast.sources.registry import SEGMENTS, STAR_DATES, STAR_OVERRIDES, setting_of
+from tidecast.sources.schemas import OVERRIDES
 
 # History plus the longest forecast horizon.
 YEARS = (STAR_DATES.years[0], STAR_DATES.years[-1] + 1)
@@ -102,6 +104,13 @@ def ols_forecast_365(spark: SparkSession, folder: str) -> DataFrame:
     return ahead.select("series", "ds", "position", rounded(F.col("yhat")).alias("yhat"))
 
 
+def ols_overridden(spark: SparkSession, folder: str) -> DataFrame:
+    """The baseline's coefficients after the outlier corrections."""
+    corrected = ops.apply_overrides(_orgs(spark, folder), literal_table(spark, STAR_OVERRIDES, OVERRIDES))
+    fits = regression.named_coefficients(regression.fit_ols(corrected, "series"), "series")
+    return fits.select("series", "term", rounded(F.col("beta")).alias("beta"))
+
+
 def holiday_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Holidays of each segment's calendar on the days it has tickets."""
     days = _segments(spark, folder).withColumn("country", setting_of("country"))
@@ -143,6 +152,7 @@ QUERIES = {
         ols_fit,
         ols_in_sample,
         ols_forecast_365,
+        ols_overridden,
         holiday_flags,
         future_frame,
         changepoints,
@@ -285,6 +295,18 @@ ahead_x AS (SELECT series, ds, position, [{', '.join(_DESIGN)}] AS x FROM ahead)
         f"SELECT series, ds, position, {sql.rnd('list_inner_product(beta, x)')} AS yhat FROM ahead_x JOIN fit USING (series)",
         recursive=True,
     ),
+    "ols_overridden": sql.query(
+        _OLS.replace("FROM org_series)", "FROM corrected)").replace(
+            ",\nplaced AS",
+            """,
+corrected AS (SELECT series, ds, coalesce(y_new, y) AS y
+              FROM org_series FULL JOIN (VALUES ('BUILDING', DATE '2000-09-11', CAST(1269 AS DOUBLE)),
+                ('MACHINERY', DATE '2001-02-02', CAST(200 AS DOUBLE))) o(series, ds, y_new) USING (series, ds)),
+placed AS""",
+        ),
+        f"""SELECT series, unnest({features.DESIGN_NAMES!r}) AS term, {sql.rnd('unnest(beta)')} AS beta FROM fit""",
+        recursive=True,
+    ),
     "holiday_flags": sql.query(
         sql.SEGMENTS + "," + HOLIDAYS,
         f"""SELECT segment, country, ds, y, holidays FROM series JOIN {COUNTRY_OF} USING (segment)
