@@ -300,6 +300,10 @@ def tuning_scores(rows: DataFrame, settings: DataFrame, batches: int) -> DataFra
 
 
 def best_setting(scores: DataFrame, metric: str) -> DataFrame:
-    """Setting with the smallest score per segment, the first one on ties."""
-    best = F.min(F.struct(metric, "param_id", "cps", "sps", "mode")).alias("best")
+    """Setting with the smallest score per segment.
+
+    Scores equal to six digits are ties, which the first setting wins: the choice must not hang on the
+    order in which errors were added up.
+    """
+    best = F.min(F.struct(F.round(metric, 6).alias(metric), "param_id", "cps", "sps", "mode")).alias("best")
     return scores.dropna(subset=[metric]).groupBy("segment").agg(best).select("segment", "best.*")

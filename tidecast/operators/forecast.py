@@ -17,13 +17,14 @@ from tidecast.functions.numbers import dot
 from tidecast.operators.features import N_WEEKLY, N_YEARLY, changepoint_dates, training_spans
 
 # Fixed values of the model: rounds of the solver, prior scale of holidays, 80 % normal quantile,
-# size from which a trend change is reported as significant.
+# size from which a trend change is reported as significant, smallest values the penalties use.
 PENALTY_ROUNDS = 3
 ALTERNATIONS = 2
 HOLIDAY_SCALE = 10.0
 BAND_QUANTILE = 1.2815515655446004
 SIGNIFICANT = 0.01
 SMALLEST_DELTA = 1e-4
+SMALLEST_VARIANCE = 1e-8
 
 WINDOW = ["segment", "cutoff"]
 
@@ -83,12 +84,14 @@ def _noise_variance(products: np.ndarray, moments: np.ndarray, squares: float, r
     """Residual variance of the unpenalised fit.
 
     With fewer than two observations per column that fit follows the noise; then the straight
-    line's variance stands in, which is larger and so leads to more shrinkage.
+    line's variance stands in, which is larger and so leads to more shrinkage. A history without
+    noise gets a small variance, or else the penalties would vanish and the fit be undefined.
     """
     used = len(moments) if rows >= 2 * len(moments) else 2
     lhs, rhs = products[:used, :used], moments[:used]
     free = _solve(lhs, rhs, np.zeros((1, used)))[0]
-    return max(squares - 2 * free @ rhs + free @ lhs @ free, 0.0) / max(rows - used, 1.0)
+    left = squares - 2 * free @ rhs + free @ lhs @ free
+    return max(left / max(rows - used, 1.0), SMALLEST_VARIANCE)
 
 
 def fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps):
@@ -144,7 +147,8 @@ def _fit_by_mode(days: pd.DataFrame, settings: pd.DataFrame):
         cps, sps = chosen["cps"].to_numpy(float), chosen["sps"].to_numpy(float)
         a, b = fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps)
         fitted = values_at(trend, season, a, b, multiplicative)
-        spread = np.maximum(squares - 2 * fitted @ (n * mean) + (fitted**2) @ n, 0.0) / n.sum()
+        spread = (squares - 2 * fitted @ (n * mean) + (fitted**2) @ n) / n.sum()
+        spread = np.maximum(spread, SMALLEST_VARIANCE)
         yield chosen, multiplicative, a, b, scale, np.sqrt(spread) * scale
 
 

@@ -454,7 +454,7 @@ ORACLE.update(
         "best_params": sql.query(
             _grid(GRID_SEGMENTS, _generated(366), 90),
             f"""SELECT segment, param_id, cps, sps, {_d('score')} AS mape FROM (SELECT * RENAME (mape AS score) FROM scores)
-                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score, param_id) = 1""",
+                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY round(score, 6), param_id) = 1""",
             recursive=True,
         ),
     }

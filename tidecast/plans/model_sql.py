@@ -120,8 +120,9 @@ free_m AS MATERIALIZED (
   FROM free_cells GROUP BY gid, i)""" + _eliminate("free", "gid")
     text += """,
 noise AS MATERIALIZED (
-  SELECT gid, greatest(any_value(squares) - 2 * sum(CASE WHEN j = size + 1 THEN b[i] * v ELSE 0 END)
-      + sum(CASE WHEN j <= len(b) THEN b[i] * b[j] * v ELSE 0 END), 0.0) / greatest(any_value(n_rows) - any_value(len(b)), 1) AS variance
+  SELECT gid, greatest((any_value(squares) - 2 * sum(CASE WHEN j = size + 1 THEN b[i] * v ELSE 0 END)
+      + sum(CASE WHEN j <= len(b) THEN b[i] * b[j] * v ELSE 0 END)) / greatest(any_value(n_rows) - any_value(len(b)), 1),
+    CAST(1e-8 AS DOUBLE)) AS variance
   FROM joint JOIN free USING (gid) JOIN span USING (gid) WHERE i <= len(b) AND (j <= len(b) OR j = size + 1) GROUP BY gid),
 settings AS MATERIALIZED (
   SELECT sid, gid, param_id, mode, cps, sps, variance, (SELECT 2 + coalesce(len(points), 0) FROM span s LEFT JOIN points USING (gid) WHERE s.gid = p.gid) AS q
@@ -157,7 +158,7 @@ fitted AS (SELECT sid, n, y, CASE WHEN mode = 'multiplicative' THEN list_inner_p
              ELSE list_inner_product(a, tx) + list_inner_product(b, sx) END AS fit FROM fitting JOIN coefficients USING (gid)),
 spread AS (SELECT sid, sum(-2 * n * y * fit + n * fit * fit) AS s FROM fitted GROUP BY sid),
 fits AS MATERIALIZED (
-  SELECT c.*, segment, cutoff, scale, sqrt(greatest(squares + s, 0.0) / n_rows) * scale AS sigma,
+  SELECT c.*, segment, cutoff, scale, sqrt(greatest((squares + s) / n_rows, CAST(1e-8 AS DOUBLE))) * scale AS sigma,
     list_transform(a, lambda v: v * scale) AS trend_beta,
     list_transform(b, lambda v: CASE WHEN mode = 'multiplicative' THEN v ELSE v * scale END) AS season_beta
   FROM coefficients c JOIN spread USING (sid) JOIN span USING (gid) JOIN groups USING (gid)),
