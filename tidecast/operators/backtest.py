@@ -109,7 +109,8 @@ def trend_line_cv(rows: DataFrame) -> DataFrame:
         F.regr_syy("y", "x").alias("syy"),
         F.regr_sxy("y", "x").alias("sxy"),
     )
-    spread = F.sqrt(F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0)) / F.col("n"))
+    variance = (F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("n")
+    spread = F.sqrt(F.greatest(variance, F.lit(forecast.SMALLEST_VARIANCE)))
     half = spread * F.lit(forecast.BAND_QUANTILE)
     yhat = F.col("intercept") + F.col("slope") * F.col("x")
     return (

@@ -271,7 +271,7 @@ FROM windows GROUP BY ALL"""
 _LINE_CV = _WINDOWS + """,
 numbered AS (SELECT *, CAST(ds - DATE '1970-01-01' AS DOUBLE) AS x FROM windows),
 line AS (SELECT segment, cutoff, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
-           1.2815515655446004::DOUBLE * sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / count(*)) AS half
+           1.2815515655446004::DOUBLE * sqrt(greatest((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / count(*), 1e-8::DOUBLE)) AS half
          FROM numbered WHERE is_train GROUP BY ALL),
 cv AS (SELECT segment, cutoff, ds, CAST(ds - cutoff AS INTEGER) AS horizon, y, intercept + slope * x AS yhat, half
        FROM numbered JOIN line USING (segment, cutoff) WHERE NOT is_train),
