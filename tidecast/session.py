@@ -61,8 +61,21 @@ def settle(df: DataFrame) -> DataFrame:
 
     A frame used several times is so computed once and survives the loss of an executor. Unlike a
     checkpoint it is written in the same pass that computes it, prunes columns when read, and has a
-    known size, which lets Spark broadcast it where that is safe.
+    known size, which lets Spark broadcast it where that is safe. ``discard`` removes it again.
     """
     path = new_output_dir(df.sparkSession, "settled")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    frame = df.sparkSession.read.schema(df.schema).parquet(path)
+    frame.settled_path = path
+    return frame
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes settled tables that no later plan reads; frames that were not settled are left alone."""
+    for frame in frames:
+        path = getattr(frame, "settled_path", None)
+        if path is None:
+            continue
+        spark = frame.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
