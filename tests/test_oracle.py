@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from tidecast.plans import catalog
 from tests import oracle
 
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="session")
@@ -28,3 +29,7 @@ def test_every_twin_has_a_query():
 def test_entry(spark):
     result = driver.entry(spark)
     assert result.columns[:2] == ["sys_created_date", "created_year"] and result.count() > 0
+
+
+def test_driver_lists_the_catalogue():
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
