@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import simhash
+from tidecast.llm import licenses, packing, prefixes, sharding, simhash
 from tidecast.llm.common import table, unsigned_hex
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents: 4-word shingles, at most 4 differing bits."""
@@ -15,7 +23,31 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint against those of an edited text and of the next document."""
+    return prefixes.with_edited(table(spark, folder, "documents"))
+
+
+def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot and shard of every document."""
+    return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
+
+
+def op8_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens and shorter tiers, with their step groups."""
+    return packing.step_groups(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
+
+
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.summary(licenses.scan(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op5_shard_placement": op5_shard_placement,
+    "op8_hierarchical_packing": op8_hierarchical_packing,
+    "op9_license_scan": op9_license_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE}
