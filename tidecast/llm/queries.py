@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import licenses, packing, prefixes, sharding, simhash
+from tidecast.llm import decontaminate, licenses, packing, prefixes, sharding, simhash
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,11 @@ def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.with_edited(table(spark, folder, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold copies of benchmark items, with score and place."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
     """The slot and shard of every document."""
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
@@ -46,6 +51,7 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_decontamination": op3_decontamination,
     "op5_shard_placement": op5_shard_placement,
     "op8_hierarchical_packing": op8_hierarchical_packing,
     "op9_license_scan": op9_license_scan,
