@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, licenses, packing, prefixes, sharding, simhash
+from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -33,6 +33,12 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Chain probabilities of every document and whether it is rejected as toxic."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
     """The slot and shard of every document."""
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
@@ -48,12 +54,20 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, folder, "documents")))
 
 
+def op10_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, the limit of its language and the verdict."""
+    scores, limits, _ = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return quality.decide(scores, limits)
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_decontamination": op3_decontamination,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_shard_placement": op5_shard_placement,
     "op8_hierarchical_packing": op8_hierarchical_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_quality_perplexity": op10_quality_perplexity,
 }
 ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE}
