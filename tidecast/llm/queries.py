@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity
+from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity, urls
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,12 @@ def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page by the rules or its host's trust and distrust."""
+    found = urls.judge(table(spark, folder, "pages"))
+    return found.withColumns({c: F.round(c, 4) for c in ("trust", "distrust")})
+
+
 def op8_hierarchical_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens and shorter tiers, with their step groups."""
     return packing.step_groups(packing.pack(table(spark, folder, "documents"), tokenizer_path()))
@@ -66,8 +72,9 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_shard_placement": op5_shard_placement,
+    "op7_url_filter": op7_url_filter,
     "op8_hierarchical_packing": op8_hierarchical_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_perplexity": op10_quality_perplexity,
 }
-ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE}
+ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE, "op7_url_filter": urls.ORACLE_JUDGE}
