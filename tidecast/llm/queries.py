@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity, urls
+from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity, urls, wrappers
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,11 @@ def op5_shard_placement(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(table(spark, folder, "documents")).select("doc_id", "slot", "shard")
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page by the rules or its host's trust and distrust."""
     found = urls.judge(table(spark, folder, "pages"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_shard_placement": op5_shard_placement,
+    "op6_html_extraction": op6_html_extraction,
     "op7_url_filter": op7_url_filter,
     "op8_hierarchical_packing": op8_hierarchical_packing,
     "op9_license_scan": op9_license_scan,
