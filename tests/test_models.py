@@ -95,7 +95,52 @@ def test_easter_and_moving_holidays(spark):
         assert ("UK", "Easter Monday", day) in days
     assert ("US", "Thanksgiving", D(2023, 11, 23)) in days and ("US", "Memorial Day", D(2024, 5, 27)) in days
     assert ("CA", "Victoria Day", D(2024, 5, 20)) in days and ("CN", "Tomb-Sweeping Day", D(2024, 4, 4)) in days
-    assert ("US", "Juneteenth", D(2020, 6, 19)) not in days and ("NL", "King's Day", D(2014, 4, 27)) in days
+    assert ("US", "Juneteenth", D(2020, 6, 19)) not in days and ("NL", "King's Day", D(2014, 4, 26)) in days
+
+
+def test_published_days_of_every_country(spark):
+    """Dates as published by the authorities of each country."""
+    days = {(r.country, r.ds) for r in holidays.holiday_calendar(spark, 1995, 2026).collect()}
+    published = {
+        "US": ["2022-06-20", "2022-12-26", "2023-01-02", "2021-12-31", "2023-11-10", "2023-06-19", "2000-11-10", "1995-01-02"],
+        "UK": ["2022-06-02", "2022-06-03", "2022-09-19", "2022-12-27", "2023-01-02", "2023-05-08", "2021-12-27", "2021-12-28",
+               "2020-05-08", "1995-05-08", "2022-01-03", "1999-12-31", "2002-06-03", "2002-06-04"],
+        "CA": ["2022-12-26", "2022-12-27", "2023-01-02", "2023-07-03", "2023-09-30"],
+        "NL": ["1995-04-29", "2000-04-29", "2001-04-30", "2023-04-27", "2014-04-26", "2025-04-26"],
+        "IE": ["2023-02-06", "2024-02-05", "2030-02-01"][:2] + ["2022-12-27", "2023-01-02", "2024-03-18"],
+        "BR": ["2023-04-07", "2023-09-07", "2024-11-20"],
+        "CN": ["2023-01-22", "2023-04-05", "2023-06-22", "2023-09-29", "2001-05-03", "2024-02-12"],
+    }
+    assert not [(c, d) for c, ds in published.items() for d in ds if (c, D.fromisoformat(d)) not in days]
+    absent = {"NL": ["1995-04-30", "2000-04-30", "2014-04-27"], "UK": ["2020-05-04", "2022-05-30", "1995-05-01"], "US": ["2022-06-21"]}
+    assert not [(c, d) for c, ds in absent.items() for d in ds if (c, D.fromisoformat(d)) in days]
+    brigid = {r.ds for r in holidays.holiday_calendar(spark, 2030, 2030).collect() if r.holiday.startswith("Saint Brigid")}
+    assert brigid == {D(2030, 2, 1)}
+
+
+def test_years_beyond_the_lunar_lists_are_an_error(spark):
+    assert holidays.holiday_calendar(spark, 2031, 2050).where("holiday = 'Spring Festival'").count() == 60
+    for first, last in ((1994, 2000), (2049, 2051)):
+        with pytest.raises(ValueError):
+            holidays.holiday_calendar(spark, first, last)
+    assert holidays.holiday_calendar(spark, 2060, 2061, lunar=False).where("country = 'US'").count() > 20
+    days = spark.createDataFrame([("a", D(2023, 12, 25)), ("a", D(2031, 1, 1))], "segment string, ds date")
+    assert features.calendar_years(days) == (2023, 2031)
+    flagged = features.with_season(days, F.lit("US"), features.calendar_years(days)).orderBy("ds").collect()
+    assert sum(flagged[0].season[26:]) == 1 and sum(flagged[1].season[26:]) == 1
+
+
+def test_horizon_metrics_skip_zero_actuals(spark):
+    """With a window of all rows the means by horizon are the overall ones."""
+    rows = [("s", D(2000, 1, 1), D(2000, 1, 2 + i), y, 1.5, 1.0, 2.0) for i, y in enumerate([0.0, 2.0, 0.0, 4.0, 2.0])]
+    cv = spark.createDataFrame(rows, "segment string, cutoff date, ds date, y double, yhat double, yhat_lower double, yhat_upper double")
+    last = backtest.metrics_by_horizon(cv, share=1.0).collect()
+    overall = backtest.overall_metrics(cv).first()
+    assert len(last) == 1
+    for name in ("mse", "rmse", "mae", "mape", "mdape", "smape", "coverage"):
+        assert abs(last[0][name] - overall[name]) < 1e-12, name
+    one = backtest.metrics_by_horizon(cv, share=0.2).orderBy("horizon").collect()
+    assert [r.mape for r in one][0] is None and abs(one[1].mape - 0.25) < 1e-12
 
 
 def settings(spark, rows):
@@ -131,7 +176,7 @@ def brute_force(train, cps, sps, multiplicative):
         return b
 
     both = np.hstack([trend, season])
-    free = both if n >= 2 * (q + p) else both[:, :2]
+    free = both[:, :2]
     variance = np.square(y - free @ ridge(free, y, np.zeros(free.shape[1]))).sum() / (n - free.shape[1])
     swing_penalty = np.r_[np.full(26, variance / sps**2), np.full(p - 26, variance / 100)]
     if not multiplicative:

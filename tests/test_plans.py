@@ -109,3 +109,8 @@ def test_registry_covers_every_template_copy():
     assert len(SEGMENTS) == 17 and sum(s.exported for s in SEGMENTS) == 9
     assert sum(s.trials == 500 for s in SEGMENTS) == 10 and sum(s.trials == 100 for s in SEGMENTS) == 5
     assert all(getattr(STAR_LABELS, field) for field in ("apac", "unspecified", "org_a", "org_b"))
+
+
+def test_flat_first_touch_is_a_hash_aggregate(spark, folder):
+    plan = plan_of(src.first_touch(src.tickets(spark, folder), STAR_DATES), "simple")
+    assert "SortAggregate" not in plan and "min(packed" in plan

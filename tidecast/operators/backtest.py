@@ -31,6 +31,8 @@ GRID_INITIAL = 366
 LADDER_STEPS = 6
 LADDER_STEP = 30
 METRIC_SHARE = 0.1
+# Below this a count that was interpolated is zero.
+SMALLEST_COUNT = 1e-9
 
 
 def generated_cutoffs(days: DataFrame, initial: int, period: int = PERIOD, horizon: int = HORIZON) -> DataFrame:
@@ -81,11 +83,15 @@ def windows(days: DataFrame, cutoffs: DataFrame, horizon: int = HORIZON) -> Data
     return paired.filter(F.col("ds") <= reach).withColumn("is_train", F.col("ds") <= F.col("cutoff"))
 
 
-def window_summary(rows: DataFrame) -> DataFrame:
-    """Size and reach of every training and test window."""
+def window_summary(rows: DataFrame, horizon: int = HORIZON, full_history: DataFrame | None = None) -> DataFrame:
+    """Size and reach of every training and test window.
+
+    ``complete``: the window has test rows and the history reaches its end, so that its score is one of
+    the whole horizon. ``full_history`` are the days the windows are cut from.
+    """
     train, size = F.col("is_train"), F.size("ys")
     total = F.aggregate("ys", F.lit(0.0), lambda s, y: s + y)
-    return rows.groupBy("segment", "cutoff").agg(
+    summary = rows.groupBy("segment", "cutoff").agg(
         F.sum(F.when(train, size).otherwise(0)).alias("n_train"),
         F.sum(F.when(train, 0).otherwise(size)).alias("n_test"),
         F.min("ds").alias("first_ds"),
@@ -93,6 +99,11 @@ def window_summary(rows: DataFrame) -> DataFrame:
         F.sum(F.when(train, total).otherwise(F.lit(0.0))).alias("sum_train"),
         F.sum(F.when(train, F.lit(0.0)).otherwise(total)).alias("sum_test"),
     )
+    if full_history is None:
+        return summary
+    reach = full_history.groupBy("segment").agg(F.max("ds").alias("history_to"))
+    complete = (F.col("n_test") > 0) & (F.col("history_to") >= F.date_add("cutoff", horizon))
+    return summary.join(reach, "segment").withColumn("complete", complete).drop("history_to")
 
 
 def trend_line_cv(rows: DataFrame) -> DataFrame:
@@ -161,7 +172,8 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
     The window holds exactly w rows: whole days ahead, and of the earliest one as large a share of
     its mean as is missing. With running sums that is one lookup: the sum at the row count w
     earlier, interpolated inside the day it falls into. Days with fewer than w rows behind them
-    have no value.
+    have no value. A mean divides by the known errors of its measure: a percentage error of a zero
+    actual is unknown and takes no part.
     """
     errors = _errors()
     names = list(errors)
@@ -169,8 +181,11 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
         "segment", "cutoff", "ds", F.date_diff("ds", "cutoff").alias("horizon"), *[c.alias(n) for n, c in errors.items()]
     )
     by_day = rows.groupBy("segment", "horizon").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]
+        F.count(F.lit(1)).alias("n"),
+        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names],
+        *[F.count(n).alias(f"known_{n}") for n in names],
     )
+    names = [*names, *[f"known_{n}" for n in names]]
     upto = Window.partitionBy("segment").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("segment")
     size = F.greatest(F.floor(F.sum("n").over(whole) * F.lit(share)), F.lit(1))
@@ -188,10 +203,13 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
     answer = F.first(F.when(F.col("mark.kind") == 0, day), ignorenulls=True).over(after)
     met = marks.withColumn("day", answer).filter(F.col("mark.kind") == 1)
 
-    def mean(n: str) -> Column:
+    def inside(n: str) -> Column:
         missing = F.col(f"day.{n}") * (F.col("day.cum_n") - F.col("mark.at")) / F.col("day.n")
-        before = F.col(f"day.cum_{n}") - missing
-        return (F.col(f"cum_{n}") - before) / F.col("w")
+        return F.col(f"cum_{n}") - (F.col(f"day.cum_{n}") - missing)
+
+    def mean(n: str) -> Column:
+        known = inside(f"known_{n}")
+        return F.when(known > SMALLEST_COUNT, inside(n) / known)
 
     return met.select(
         "segment",
@@ -303,8 +321,7 @@ def tuning_scores(rows: DataFrame, settings: DataFrame, batches: int) -> DataFra
 def best_setting(scores: DataFrame, metric: str) -> DataFrame:
     """Setting with the smallest score per segment.
 
-    Scores equal to six digits are ties, which the first setting wins: the choice must not hang on the
-    order in which errors were added up.
+    Only equal scores are ties, which the first setting wins.
     """
-    best = F.min(F.struct(F.round(metric, 6).alias(metric), "param_id", "cps", "sps", "mode")).alias("best")
+    best = F.min(F.struct(metric, "param_id", "cps", "sps", "mode")).alias("best")
     return scores.dropna(subset=[metric]).groupBy("segment").agg(best).select("segment", "best.*")

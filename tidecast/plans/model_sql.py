@@ -108,12 +108,9 @@ fitting AS MATERIALIZED (
     text += _products("joint", "fitting", "gid", "x", "n", "n * y")
     text += """,
 free_cells AS (
-  SELECT gid, i, j, v, jitter0 AS jitter FROM (
-    SELECT c.*, CASE WHEN n_rows >= 2 * size THEN size ELSE 2 END AS used FROM joint c JOIN span USING (gid))
-  JOIN (SELECT gid, avg(v) * 1e-10 AS jitter0 FROM (
-      SELECT c.gid, c.v FROM joint c JOIN span USING (gid) WHERE i = j AND i <= CASE WHEN n_rows >= 2 * size THEN size ELSE 2 END)
-    GROUP BY gid) USING (gid)
-  WHERE i <= used AND (j <= used OR j = size + 1))"""
+  SELECT gid, i, j, v, jitter0 AS jitter FROM joint
+  JOIN (SELECT gid, avg(v) * 1e-10 AS jitter0 FROM joint WHERE i = j AND i <= 2 GROUP BY gid) USING (gid)
+  WHERE i <= 2 AND (j <= 2 OR j = size + 1))"""
     text += """,
 free_m AS MATERIALIZED (
   SELECT gid, i, list(v + CASE WHEN i = j THEN jitter ELSE 0.0 END ORDER BY j) AS line

@@ -16,7 +16,7 @@ from tidecast.sources.files import literal_table
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, STAR_OVERRIDES, setting_of
 from tidecast.sources.schemas import OVERRIDES
 
-# History plus the longest forecast horizon.
+# History plus the longest forecast horizon of the test tables, for their SQL twins.
 YEARS = (STAR_DATES.years[0], STAR_DATES.years[-1] + 1)
 
 
@@ -114,7 +114,7 @@ def ols_overridden(spark: SparkSession, folder: str) -> DataFrame:
 def holiday_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Holidays of each segment's calendar on the days it has tickets."""
     days = _segments(spark, folder).withColumn("country", setting_of("country"))
-    calendar = holidays_by_day(holiday_calendar(spark, *YEARS))
+    calendar = holidays_by_day(holiday_calendar(spark, *features.calendar_years(days)))
     return days.join(calendar, ["country", "ds"], "left").select(
         "segment", "country", "ds", "y", F.array_join("names", "; ").alias("holidays")
     )
@@ -242,9 +242,15 @@ march AS (SELECT *, h + l - 7 * ((y % 19 + 11 * h + 22 * l) // 451) + 114 AS p F
 holidays AS (SELECT country, holiday, CAST(CASE kind
     WHEN 'fixed' THEN make_date(y, month, day)
     WHEN 'on_or_after' THEN make_date(y, month, day) + CAST((arg - (isodow(make_date(y, month, day)) - 1) + 7) % 7 AS INTEGER)
+    WHEN 'nearest' THEN CASE isodow(make_date(y, month, day)) WHEN 6 THEN make_date(y, month, day) - 1 WHEN 7 THEN make_date(y, month, day) + 1 END
+    WHEN 'monday' THEN CASE isodow(make_date(y, month, day)) WHEN 6 THEN make_date(y, month, day) + 2 WHEN 7 THEN make_date(y, month, day) + 1 END
+    WHEN 'two_later' THEN CASE WHEN isodow(make_date(y, month, day)) >= 6 THEN make_date(y, month, day) + 2 END
+    WHEN 'not_sunday' THEN make_date(y, month, day) - CASE WHEN isodow(make_date(y, month, day)) = 7 THEN 1 ELSE 0 END
+    WHEN 'friday_or_monday' THEN CASE WHEN isodow(make_date(y, month, day)) = 5 THEN make_date(y, month, day)
+      ELSE make_date(y, month, day) + CAST((arg - (isodow(make_date(y, month, day)) - 1) + 7) % 7 AS INTEGER) END
     WHEN 'easter' THEN make_date(y, p // 31, p % 31 + 1) + CAST(arg AS INTEGER)
     ELSE make_date(y, month, CAST(floor((y % 100) * 0.2422 + 4.81) - floor((y % 100) / 4) AS BIGINT)) END AS DATE) AS ds
-  FROM march),
+  FROM march WHERE kind NOT IN ('nearest', 'monday', 'two_later') OR isodow(make_date(y, month, day)) >= 6),
 names AS (SELECT country, ds, string_agg(DISTINCT holiday, '; ' ORDER BY holiday) AS holidays FROM holidays GROUP BY ALL)"""
 
 COUNTRY_OF = "(VALUES " + ", ".join(f"('{s.name}', '{s.country}')" for s in SEGMENTS) + ") c(segment, country)"

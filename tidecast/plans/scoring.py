@@ -134,6 +134,22 @@ def model_mean_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return _round(scoring.mean_accuracy(_model_results(spark, _settled_daily(spark, folder))), "accuracy", digits=DIGITS)
 
 
+def model_export_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The model's results written as CSV, one folder per segment, and read back with their schema."""
+    results = model_accuracy_by_day(spark, folder)
+    path = write_csv(results, new_output_dir(spark, "segments"), ["segment"])
+    return read_csv(spark, path, SEGMENT_RESULT)
+
+
+def model_column_means(spark: SparkSession, folder: str) -> DataFrame:
+    means = scoring.column_means(_model_results(spark, _settled_daily(spark, folder)))
+    return _round(means, "ds", "y", "yhat", "accuracy_by_day", digits=DIGITS)
+
+
+def model_worst_day(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.worst_day(model_accuracy_by_day(spark, folder))
+
+
 def _model_daily(spark: SparkSession, folder: str) -> DataFrame:
     daily = _settled_daily(spark, folder)
     return scoring.reconcile_daily(scoring.total_actuals(daily), _model_results(spark, daily))
@@ -147,6 +163,19 @@ def model_reconcile_monthly(spark: SparkSession, folder: str) -> DataFrame:
     return _round(scoring.reconcile_monthly(_model_daily(spark, folder)), *ERRORS, digits=DIGITS)
 
 
+def model_mape_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return _round(scoring.mape(_model_daily(spark, folder)), "mape", digits=DIGITS)
+
+
+def model_mape_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    return _round(scoring.mape(scoring.reconcile_monthly(_model_daily(spark, folder))), "mape", digits=DIGITS)
+
+
+def model_export_month(spark: SparkSession, folder: str) -> DataFrame:
+    path = write_csv(model_reconcile_monthly(spark, folder), new_output_dir(spark, "months"))
+    return read_csv(spark, path, MONTH_RESULT)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -168,6 +197,12 @@ QUERIES = {
         model_mean_accuracy,
         model_reconcile_daily,
         model_reconcile_monthly,
+        model_export_segments,
+        model_column_means,
+        model_worst_day,
+        model_mape_daily,
+        model_mape_monthly,
+        model_export_month,
     )
 }
 
@@ -204,8 +239,8 @@ def _result_rows(digits: int = 6) -> str:
 RESULT_ROWS = _result_rows()
 
 
-def _mape(table: str) -> str:
-    return f"""SELECT {sql.rnd('avg(abs(percent_error))')} AS mape, CAST(count(*) AS BIGINT) AS n_rows,
+def _mape(table: str, digits: int = 6) -> str:
+    return f"""SELECT {sql.rnd('avg(abs(percent_error))', digits)} AS mape, CAST(count(*) AS BIGINT) AS n_rows,
       CAST(count(*) FILTER (percent_error IS NULL) AS BIGINT) AS n_skipped FROM {table}"""
 
 
@@ -257,4 +292,20 @@ ORACLE = {
     ),
     "model_reconcile_daily": sql.query(_MODEL, error_rows("ds", "by_day", DIGITS), recursive=True),
     "model_reconcile_monthly": sql.query(_MODEL, error_rows("year_month", "by_month", DIGITS), recursive=True),
+    "model_export_segments": sql.query(_MODEL, _result_rows(DIGITS), recursive=True),
+    "model_column_means": sql.query(
+        _MODEL,
+        f"""SELECT segment, {sql.rnd("avg(CAST(ds - DATE '1970-01-01' AS DOUBLE))", DIGITS)} AS ds, {sql.rnd('avg(y)', DIGITS)} AS y,
+              {sql.rnd('avg(yhat)', DIGITS)} AS yhat, {sql.rnd('avg(accuracy_by_day)', DIGITS)} AS accuracy_by_day
+            FROM results GROUP BY segment""",
+        recursive=True,
+    ),
+    "model_worst_day": sql.query(
+        _MODEL,
+        f"SELECT * FROM ({_result_rows(DIGITS)}) QUALIFY row_number() OVER (PARTITION BY segment ORDER BY accuracy_by_day, ds) = 1",
+        recursive=True,
+    ),
+    "model_mape_daily": sql.query(_MODEL, _mape("by_day", DIGITS), recursive=True),
+    "model_mape_monthly": sql.query(_MODEL, _mape("by_month", DIGITS), recursive=True),
+    "model_export_month": sql.query(_MODEL, error_rows("year_month", "by_month", DIGITS), recursive=True),
 }

@@ -8,11 +8,14 @@ number of tickets.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.dates import iso_weekday, weekday_name
+from tidecast.session import settle
 from tidecast.sources.files import read_table
 from tidecast.sources.registry import STAR_DATES, Dates
 
@@ -61,16 +64,34 @@ def tickets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: A packed first touch is days since 1970 times this, plus the rank of the location.
+_RANKS = 1 << 40
+
+
 def first_touch(events: DataFrame, dates: Dates) -> DataFrame:
     """Earliest event of every ticket; ties go to the first location in A-Z order.
 
-    A minimum is idempotent, so the distinct step before it is not needed, and it combines on the
-    map side: a ticket with any number of events sends one row per map task. No ranking window,
-    no sort of raw events on the reduce side.
+    The few distinct locations are ranked A-Z (NULL first) in a small written table. Day and rank make
+    one BIGINT per event, and its minimum per ticket is a hash aggregate that combines on the map side:
+    neither a DISTINCT nor a sort of raw events, and no strings in the shuffle. The names are joined
+    back on the reduced rows. The location join is an inner join on the whole location, NULLs equal;
+    Spark broadcasts the table by its known size.
     """
-    first = F.min(F.struct("sys_created_date", *LOCATION)).alias("first")
     in_range = (F.col("sys_created_date") >= F.lit(dates.since)) & (F.col("sys_created_date") < F.lit(dates.until))
-    return events.filter(in_range).groupBy("sr_number").agg(first).select("sr_number", "first.*")
+    kept = events.filter(in_range)
+    ranked = Window.orderBy(*[F.asc_nulls_first(c) for c in LOCATION])
+    places = settle(kept.select(*LOCATION).distinct().withColumn("place", F.row_number().over(ranked).cast("bigint")))
+    same = reduce(and_, [F.col(f"e.{c}").eqNullSafe(F.col(f"p.{c}")) for c in LOCATION])
+    packed = kept.alias("e").join(places.alias("p"), same).select(
+        "sr_number", (F.unix_date("sys_created_date").cast("bigint") * F.lit(_RANKS) + F.col("place")).alias("packed")
+    )
+    first = packed.groupBy("sr_number").agg(F.min("packed").alias("packed"))
+    opened = first.select(
+        "sr_number",
+        F.date_from_unix_date(F.floor(F.col("packed") / F.lit(_RANKS)).cast("int")).alias("sys_created_date"),
+        F.pmod("packed", F.lit(_RANKS)).alias("place"),
+    )
+    return opened.join(places, "place").select("sr_number", "sys_created_date", *LOCATION)
 
 
 def first_touch_star(spark: SparkSession, folder: str, dates: Dates = STAR_DATES) -> DataFrame:
