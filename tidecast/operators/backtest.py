@@ -288,9 +288,11 @@ def search_settings(segments: DataFrame) -> DataFrame:
 def sampled_settings(segments: DataFrame, seed: int = 0) -> DataFrame:
     """The segment's number of trials, drawn without replacement from the search space.
 
-    The draw orders the space by a hash of seed, segment and number, so it is the same on every run.
+    The draw orders the space by the MD5 of seed, segment and number, so it is the same on every run
+    and in every engine.
     """
-    draw = Window.partitionBy("segment").orderBy(F.xxhash64(F.lit(seed), F.col("segment"), F.col("param_id")), "param_id")
+    lot = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("segment"), F.col("param_id").cast("string")))
+    draw = Window.partitionBy("segment").orderBy(lot, "param_id")
     space = search_settings(segments.select("segment"))
     drawn = space.withColumn("draw", F.row_number().over(draw))
     return drawn.filter(F.col("draw") <= setting_of("trials")).drop("draw")

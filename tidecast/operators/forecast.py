@@ -209,9 +209,11 @@ def _empty(schema: str) -> pd.DataFrame:
     return pd.DataFrame({field.split()[0]: pd.Series([], dtype=object) for field in schema.split(", ")})
 
 
-def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema: str) -> DataFrame:
+def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema: str, inputs: DataFrame | None) -> DataFrame:
     """Runs ``work`` once per segment, cutoff and batch of settings.
 
+    ``inputs``, a row per segment and cutoff, spares planning all of ``rows`` again for its keys.
+
     The work is heavy and its input small, so the number of tasks follows the cores of the cluster
     and not the bytes: an explicit partition count is not coalesced by adaptive execution.
     """
@@ -221,7 +223,8 @@ def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema:
     days = rows.select(*WINDOW, "ds", "ys", "is_train", "trend", "season", F.explode(numbers).alias("batch"))
     # The second side comes from the first: new key names keep the two apart.
     other = [f"its_{k}" for k in keys]
-    groups = rows.select(*[F.col(k).alias(f"its_{k}") for k in WINDOW]).distinct()
+    named = [F.col(k).alias(f"its_{k}") for k in WINDOW]
+    groups = rows.select(*named).distinct() if inputs is None else inputs.select(*named)
     chosen = groups.join(settings, F.col("its_segment") == F.col("segment")).withColumn(
         "its_batch", F.pmod(F.col("param_id"), F.lit(batches))
     )
@@ -230,18 +233,18 @@ def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema:
     return left.cogroup(right).applyInPandas(work, schema)
 
 
-def fit(rows: DataFrame, settings: DataFrame, batches: int = 1) -> DataFrame:
+def fit(rows: DataFrame, settings: DataFrame, batches: int = 1, inputs: DataFrame | None = None) -> DataFrame:
     """Coefficients per segment, cutoff and setting.
 
     ``rows``: ``segment, cutoff, ds, ys, is_train, trend, season``; ``settings``: ``segment,
     param_id, cps, sps, mode``.
     """
-    return _by_group(rows, settings, batches, _fit_group, FITS)
+    return _by_group(rows, settings, batches, _fit_group, FITS, inputs)
 
 
-def score(rows: DataFrame, settings: DataFrame, batches: int = 1) -> DataFrame:
+def score(rows: DataFrame, settings: DataFrame, batches: int = 1, inputs: DataFrame | None = None) -> DataFrame:
     """Test errors per segment, cutoff and setting; predictions never leave the task."""
-    return _by_group(rows, settings, batches, _score_group, SCORES)
+    return _by_group(rows, settings, batches, _score_group, SCORES, inputs)
 
 
 def components(rows: DataFrame, fits: DataFrame) -> DataFrame:

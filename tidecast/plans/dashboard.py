@@ -25,7 +25,7 @@ def _days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    return src.request_export(src.daily_location(spark, folder))
+    return src.request_export(src.request_location(spark, folder))
 
 
 def first_touch_daily(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ def _sum(keys: str, table: str, measure: str) -> str:
     return f"SELECT {keys}, CAST(sum({measure}) AS BIGINT) AS {measure} FROM {table} GROUP BY ALL"
 
 
-_REQUESTS = sql.DAILY + ",\nrequests AS (SELECT sys_created_date, level1, level2, unique_tickets AS unique_requests FROM daily)"
+_REQUESTS = sql.REQUEST_DAILY + ",\nrequests AS (SELECT sys_created_date, level1, level2, unique_tickets AS unique_requests FROM daily)"
 _COUNTRY_ROWS = "SELECT level2, CAST(count(*) AS BIGINT) AS tickets FROM requests GROUP BY level2"
 _REGION_COUNTRY = _sum("level1, level2", "requests", "unique_requests")
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.numbers import rounded
-from tidecast.operators import backtest, features, forecast
+from tidecast.operators import backtest, features, forecast, series
 from tidecast.plans import model_sql, sql
 from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, settled_days, whole_history
 from tidecast.session import settle
+from tidecast.sources import tickets as src
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, setting_of
 
 # Model results pass through chains of solves; they are compared to four digits.
@@ -18,7 +19,6 @@ CV_SEGMENTS = [s.name for s in SEGMENTS if s.cv_initial]
 GRID_SEGMENTS = [s.name for s in SEGMENTS if s.grid]
 SHORT_SEGMENTS = [s.name for s in SEGMENTS if s.cv_30_days]
 TUNED_SEGMENTS = [s.name for s in SEGMENTS if s.trials]
-SEARCH_BATCHES = 2
 
 
 def _r(name: str) -> Column:
@@ -38,7 +38,7 @@ def _whole_fit(spark: SparkSession, days: DataFrame) -> tuple[DataFrame, DataFra
     cutoffs = whole_history(days)
     inputs = settle(forecast.trend_inputs(days, cutoffs))
     rows = backtest.model_rows(_seasonal(days), cutoffs, 0, inputs)
-    return inputs, forecast.fit(rows, backtest.tuned_settings(spark))
+    return inputs, forecast.fit(rows, backtest.tuned_settings(spark), inputs=inputs)
 
 
 def whole_forecast(spark: SparkSession, days: DataFrame) -> DataFrame:
@@ -132,6 +132,14 @@ def cv_forecast_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return cv.select("segment", "cutoff", "ds", "y", _r("yhat"))
 
 
+def requests_cv_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed cutoffs on the request table, whose volume does not fade towards the end of the history."""
+    daily = src.request_location(spark, folder)
+    days = _only(settle(series.series_days(series.segment_rows(daily))), CV_SEGMENTS)
+    cv = _cv_model(spark, days, backtest.fixed_cutoffs(days, STAR_DATES.cutoffs), backtest.HORIZON)
+    return cv.select("segment", "cutoff", "ds", "y", _r("yhat"))
+
+
 def cv_model_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Overall error measures of the tuned model's back-test."""
     return _rounded(backtest.overall_metrics(_cv_generated(spark, folder)), DIGITS)
@@ -217,13 +225,37 @@ def best_params(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("segment", "param_id", "cps", "sps", _r("mape"))
 
 
+def _search_batches(spark: SparkSession) -> int:
+    """As many batches of settings per window as give every core of the cluster two groups."""
+    windows = len(TUNED_SEGMENTS) * backtest.LADDER_STEPS
+    return max(1, -(-2 * spark.sparkContext.defaultParallelism // windows))
+
+
+def _ladder_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Days of the tuned segments, and their windows on the six-cutoff ladder with the tuner's calendar."""
+    days = _only(settled_days(spark, folder), TUNED_SEGMENTS)
+    return days, _windows(days, backtest.ladder_cutoffs(days), backtest.HORIZON, "tuner_country")
+
+
+def search_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """The settings that the search draws for every segment."""
+    days = _only(settled_days(spark, folder), TUNED_SEGMENTS)
+    drawn = backtest.sampled_settings(days.select("segment").distinct())
+    return drawn.select("segment", "param_id", "cps", "sps", "mode")
+
+
+def tuned_objective(spark: SparkSession, folder: str) -> DataFrame:
+    """The search's objective for each segment's own setting."""
+    _, rows = _ladder_rows(spark, folder)
+    scores = backtest.tuning_scores(rows, backtest.tuned_settings(spark), 1)
+    return scores.select("segment", "mode", _r("mape"), _r("rmse"))
+
+
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
     """Best of each segment's sampled settings by MAPE on the six-cutoff ladder."""
-    days = _only(settled_days(spark, folder), TUNED_SEGMENTS)
-    cutoffs = backtest.ladder_cutoffs(days)
-    rows = _windows(days, cutoffs, backtest.HORIZON, "tuner_country")
+    days, rows = _ladder_rows(spark, folder)
     settings = settle(backtest.sampled_settings(days.select("segment").distinct()))
-    best = backtest.best_setting(backtest.tuning_scores(rows, settings, SEARCH_BATCHES), "mape")
+    best = backtest.best_setting(backtest.tuning_scores(rows, settings, _search_batches(spark)), "mape")
     return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))
 
 
@@ -252,6 +284,9 @@ QUERIES = {
         grid_search,
         grid_search_rmse,
         best_params,
+        requests_cv_forecast,
+        search_trials,
+        tuned_objective,
         random_search,
     )
 }
@@ -394,8 +429,15 @@ cutoffs AS (SELECT segment, cutoff FROM (SELECT segment, min(ds) AS lo FROM obse
   (VALUES (DATE '2001-03-01'), (DATE '2001-01-01'), (DATE '2000-10-01')) c(cutoff) WHERE lo <= cutoff)"""
 
 
-def _cv(cutoffs: str) -> str:
-    fits = model_sql.model(_cv_groups(CV_SEGMENTS), _CV_PARAMS, _test_days(90), cutoffs=cutoffs)
+_LADDER = """,
+cutoffs AS (SELECT segment, CAST(hi - CAST(60 + 30 * i AS INTEGER) AS DATE) AS cutoff
+            FROM (SELECT segment, max(ds) AS hi FROM observed GROUP BY 1), range(1, 7) r(i))"""
+_TUNER_COUNTRY = "(VALUES " + ", ".join(f"('{s.name}', '{s.tuner_country}')" for s in SEGMENTS) + ") c(segment, country)"
+_TRIALS = "(VALUES " + ", ".join(f"('{s.name}', {s.trials})" for s in SEGMENTS if s.trials) + ") t(segment, trials)"
+
+
+def _cv(cutoffs: str, groups: str = _cv_groups(CV_SEGMENTS)) -> str:
+    fits = model_sql.model(groups, _CV_PARAMS, _test_days(90), cutoffs=cutoffs)
     return fits + """,
 cv AS (SELECT segment, cutoff, ds, CAST(ds - cutoff AS INTEGER) AS horizon, o.y, yhat, sigma FROM predicted JOIN observed o USING (segment, ds)),
 errors AS (SELECT *, (y - yhat) * (y - yhat) AS se, abs(y - yhat) AS ae, abs(y - yhat) / nullif(abs(y), 0) AS ape,
@@ -463,6 +505,25 @@ ORACLE.update(
         "cv_forecast_fixed": sql.query(
             _cv(_FIXED), f"SELECT segment, cutoff, ds, y, {_d('yhat')} AS yhat FROM cv", recursive=True
         ),
+        "requests_cv_forecast": sql.query(
+            _cv(_FIXED).replace(sql.DAILY, sql.REQUEST_DAILY), f"SELECT segment, cutoff, ds, y, {_d('yhat')} AS yhat FROM cv", recursive=True
+        ),
+        "search_trials": sql.query(
+            _NAMES
+            + """,
+space AS (SELECT names.segment, round(CAST(0.01 AS DOUBLE) + i * CAST(0.005 AS DOUBLE), 3) AS cps, CAST(0.5 * (j + 1) AS DOUBLE) AS sps,
+            mode, CAST((i * 20 + j) * 2 + k AS INTEGER) AS param_id
+          FROM names, range(0, 199) a(i), range(0, 20) b(j), (VALUES (0, 'multiplicative'), (1, 'additive')) m(k, mode))""",
+            f"""SELECT segment, param_id, cps, sps, mode FROM space JOIN {_TRIALS} USING (segment)
+                QUALIFY row_number() OVER (PARTITION BY segment ORDER BY md5('0:' || segment || ':' || param_id), param_id) <= trials""",
+        ),
+        "tuned_objective": sql.query(
+            _cv(_LADDER, _cv_groups(TUNED_SEGMENTS).replace(COUNTRY_OF, _TUNER_COUNTRY))
+            + f", modes AS (SELECT segment, mode AS tuned FROM {model_sql.TUNED})",
+            f"""SELECT segment, any_value(tuned) AS mode, {_d('avg(ape)')} AS mape, {_d('sqrt(avg(se))')} AS rmse
+                FROM errors JOIN modes USING (segment) GROUP BY segment""",
+            recursive=True,
+        ),
         "cv_model_metrics": sql.query(_cv(_generated(180)), _OVERALL.replace(", 6)", f", {DIGITS})"), recursive=True),
         "model_metrics_by_horizon": sql.query(
             _cv(_generated(180)) + _BY_HORIZON.replace("per_day", "horizon_day").replace("placed", "ordered_rows"),

@@ -104,9 +104,27 @@ def ols_forecast_365(spark: SparkSession, folder: str) -> DataFrame:
     return ahead.select("series", "ds", "position", rounded(F.col("yhat")).alias("yhat"))
 
 
+def _corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The organisations' series after the outlier corrections."""
+    return settle(ops.apply_overrides(_orgs(spark, folder), literal_table(spark, STAR_OVERRIDES, OVERRIDES)))
+
+
+def ols_overridden_in_sample(spark: SparkSession, folder: str) -> DataFrame:
+    corrected = _corrected(spark, folder)
+    rows = regression.design_rows(corrected, "series")
+    fitted = regression.predict_ols(rows, regression.fit_ols(corrected, "series"), "series")
+    return fitted.select("series", "ds", "position", "y", rounded(F.col("yhat")).alias("yhat"))
+
+
+def ols_overridden_forecast_365(spark: SparkSession, folder: str) -> DataFrame:
+    corrected = _corrected(spark, folder)
+    ahead = regression.forecast_ols(corrected, regression.fit_ols(corrected, "series"), "series")
+    return ahead.select("series", "ds", "position", rounded(F.col("yhat")).alias("yhat"))
+
+
 def ols_overridden(spark: SparkSession, folder: str) -> DataFrame:
     """The baseline's coefficients after the outlier corrections."""
-    corrected = ops.apply_overrides(_orgs(spark, folder), literal_table(spark, STAR_OVERRIDES, OVERRIDES))
+    corrected = _corrected(spark, folder)
     fits = regression.named_coefficients(regression.fit_ols(corrected, "series"), "series")
     return fits.select("series", "term", rounded(F.col("beta")).alias("beta"))
 
@@ -153,6 +171,8 @@ QUERIES = {
         ols_in_sample,
         ols_forecast_365,
         ols_overridden,
+        ols_overridden_in_sample,
+        ols_overridden_forecast_365,
         holiday_flags,
         future_frame,
         changepoints,
@@ -255,6 +275,23 @@ names AS (SELECT country, ds, string_agg(DISTINCT holiday, '; ' ORDER BY holiday
 
 COUNTRY_OF = "(VALUES " + ", ".join(f"('{s.name}', '{s.country}')" for s in SEGMENTS) + ") c(segment, country)"
 
+_OLS_CORRECTED = _OLS.replace("FROM org_series)", "FROM corrected)").replace(
+    ",\nplaced AS",
+    """,
+corrected AS (SELECT series, ds, coalesce(y_new, y) AS y
+              FROM org_series FULL JOIN (VALUES ('BUILDING', DATE '2000-09-11', CAST(1269 AS DOUBLE)),
+                ('MACHINERY', DATE '2001-02-02', CAST(200 AS DOUBLE))) o(series, ds, y_new) USING (series, ds)),
+placed AS""",
+)
+
+
+def _ahead(table: str) -> str:
+    return f""",
+ahead AS (SELECT series, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS ds, CAST(n + step AS INTEGER) AS position FROM (
+            SELECT series, max(ds) AS last_ds, count(*) AS n, unnest(range(1, 366)) AS step FROM {table} GROUP BY series)),
+ahead_x AS (SELECT series, ds, position, [{', '.join(_DESIGN)}] AS x FROM ahead)"""
+
+
 ORACLE = {
     "periodogram": sql.query(sql.SEGMENTS + _spectrum("series", "segment"), "SELECT * FROM spectrum"),
     "periodogram_orgs": sql.query(sql.ORG_SERIES + _spectrum("org_series", "series"), "SELECT * FROM spectrum"),
@@ -293,26 +330,25 @@ ORACLE = {
         recursive=True,
     ),
     "ols_forecast_365": sql.query(
-        _OLS
-        + f""",
-ahead AS (SELECT series, CAST(last_ds + CAST(step AS INTEGER) AS DATE) AS ds, CAST(n + step AS INTEGER) AS position FROM (
-            SELECT series, max(ds) AS last_ds, count(*) AS n, unnest(range(1, 366)) AS step FROM org_series GROUP BY series)),
-ahead_x AS (SELECT series, ds, position, [{', '.join(_DESIGN)}] AS x FROM ahead)""",
+        _OLS + _ahead("org_series"),
         f"SELECT series, ds, position, {sql.rnd('list_inner_product(beta, x)')} AS yhat FROM ahead_x JOIN fit USING (series)",
         recursive=True,
     ),
     "ols_overridden": sql.query(
-        _OLS.replace("FROM org_series)", "FROM corrected)").replace(
-            ",\nplaced AS",
-            """,
-corrected AS (SELECT series, ds, coalesce(y_new, y) AS y
-              FROM org_series FULL JOIN (VALUES ('BUILDING', DATE '2000-09-11', CAST(1269 AS DOUBLE)),
-                ('MACHINERY', DATE '2001-02-02', CAST(200 AS DOUBLE))) o(series, ds, y_new) USING (series, ds)),
-placed AS""",
-        ),
+        _OLS_CORRECTED,
         f"""SELECT series, unnest({features.DESIGN_NAMES!r}) AS term, {sql.rnd('unnest(beta)')} AS beta FROM fit""",
         recursive=True,
     ),
+    "ols_overridden_in_sample": sql.query(
+        _OLS_CORRECTED,
+        f"SELECT series, ds, position, y, {sql.rnd('list_inner_product(beta, x)')} AS yhat FROM wide JOIN fit USING (series)",
+        recursive=True,
+    ),
+    "ols_overridden_forecast_365": sql.query(
+        _OLS_CORRECTED + _ahead("corrected"),
+        f"SELECT series, ds, position, {sql.rnd('list_inner_product(beta, x)')} AS yhat FROM ahead_x JOIN fit USING (series)",
+        recursive=True,
+    ),
     "holiday_flags": sql.query(
         sql.SEGMENTS + "," + HOLIDAYS,
         f"""SELECT segment, country, ds, y, holidays FROM series JOIN {COUNTRY_OF} USING (segment)

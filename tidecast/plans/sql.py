@@ -29,6 +29,14 @@ daily AS (
   FROM first_touch GROUP BY ALL)"""
 )
 
+# The request export: every order counts on its day at its customer's place, same columns as ``daily``.
+REQUEST_DAILY = """
+daily AS (
+  SELECT CAST(o_orderdate AS DATE) AS sys_created_date, r_name AS level1, n_name AS level2, c_mktsegment AS organization_flag,
+         CAST(count(*) AS BIGINT) AS unique_tickets
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '2001-06-01' GROUP BY ALL)"""
+
 DAY_EXPORT = (
     DAILY
     + """,

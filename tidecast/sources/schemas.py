@@ -11,7 +11,7 @@ def _fields(**columns: T.DataType) -> T.StructType:
 # The columns read from the star-schema tables. A given schema saves the footer scan per table.
 STAR = {
     "lineitem": _fields(l_orderkey=T.LongType(), l_shipdate=T.TimestampNTZType()),
-    "orders": _fields(o_orderkey=T.LongType(), o_custkey=T.LongType()),
+    "orders": _fields(o_orderkey=T.LongType(), o_custkey=T.LongType(), o_orderdate=T.TimestampNTZType()),
     "customer": _fields(c_custkey=T.LongType(), c_nationkey=T.IntegerType(), c_mktsegment=T.StringType()),
     "nation": _fields(n_nationkey=T.IntegerType(), n_name=T.StringType(), n_regionkey=T.IntegerType()),
     "region": _fields(r_regionkey=T.IntegerType(), r_name=T.StringType()),
