@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidecast.functions import holidays
 from tidecast.operators import backtest, features, forecast, regression, scoring, spectral
 from tidecast.plans import forecasting, modelling
+from tidecast.plans import scoring as plans_scoring
+from tidecast.sources import registry
 
 D = dt.date
 
@@ -370,3 +372,30 @@ def test_missing_segment_days_count_as_zero_and_empty_totals_have_no_error(spark
     assert (summary.mape, summary.n_rows, summary.n_skipped) == (pytest.approx(0.6), 3, 1)
     month = scoring.reconcile_monthly(daily).first()
     assert (month.year_month, month.unique_tickets, month.predictions) == (D(2000, 1, 1), 14.0, 9.0)
+
+
+def test_short_series_are_reported(spark):
+    days = spark.createDataFrame(
+        [("a", D(2023, 1, d), [1.0]) for d in range(1, 9)] + [("b", D(2023, 1, 1), [2.0])], "segment string, ds date, ys array<double>"
+    )
+    windows = spark.createDataFrame([("a", D(2023, 1, 5)), ("b", D(2023, 1, 1)), ("c", None), ("a", D(2022, 1, 1))], "segment string, cutoff date")
+    found = {(r.segment, r.cutoff): (r.n_rows, r.status) for r in forecast.fit_status(days, windows).collect()}
+    assert found == {
+        ("a", D(2023, 1, 5)): (5, "fitted"), ("b", D(2023, 1, 1)): (1, "a single observation"), ("c", None): (0, "no history"),
+        ("a", D(2022, 1, 1)): (0, "no history"),
+    }
+
+
+def test_own_daily_table_with_export_labels(spark):
+    """The whole way from a daily table of 2022 to 2024, spelled as in the exports, to the reconciliation."""
+    labels, dates = registry.export_labels("One", "Two"), registry.EXPORT_DATES
+    rows = []
+    for i in range(500):
+        day = D(2022, 6, 1) + dt.timedelta(days=i)
+        for place, country, volume in ((labels.emea, labels.united_kingdom, 40 + i % 7), (labels.latam, labels.brazil, 20 + i // 50)):
+            rows.append((day, place, country, "One", 0 if (day.month, day.day) == (12, 26) else volume))
+    daily = spark.createDataFrame(rows, "sys_created_date date, level1 string, level2 string, organization_flag string, unique_tickets bigint")
+    found = plans_scoring.model_reconciliation(spark, daily, labels, dates).orderBy("ds").toPandas()
+    assert len(found) == 500
+    errors = found.abs_percent_error[found.unique_tickets > 0]
+    assert errors.mean() < 0.05

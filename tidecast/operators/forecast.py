@@ -38,6 +38,19 @@ def trend_inputs(days: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
+def fit_status(days: DataFrame, windows: DataFrame) -> DataFrame:
+    """Why a segment has no fit: ``segment, cutoff, n_rows, status`` for every row of ``windows`` (segment, cutoff).
+
+    A fit needs two observations up to the cutoff. Segments without any are in ``windows`` only.
+    """
+    spans = training_spans(days, windows.dropna())
+    known = spans.select(*[F.col(k).alias(f"its_{k}") for k in WINDOW], F.col("n_rows").alias("found"))
+    n = F.coalesce("found", F.lit(0)).cast("bigint")
+    status = F.when(n == 0, "no history").when(n < 2, "a single observation").otherwise("fitted")
+    same = [F.col(k) == F.col(f"its_{k}") for k in WINDOW]
+    return windows.join(known, same, "left").select(*WINDOW, n.alias("n_rows"), status.alias("status"))
+
+
 def elapsed(ds: Column) -> Column:
     """Position in the training span, 0 at its first day and 1 at its last."""
     length = F.greatest(F.date_diff("last_ds", "first_ds"), F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidecast.functions.numbers import rounded
 from tidecast.operators import backtest, features, forecast, series
@@ -11,6 +12,7 @@ from tidecast.plans import model_sql, sql
 from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, settled_days, whole_history
 from tidecast.session import settle
 from tidecast.sources import tickets as src
+from tidecast.sources.files import literal_table
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, setting_of
 
 # Model results pass through chains of solves; they are compared to four digits.
@@ -48,6 +50,14 @@ def whole_forecast(spark: SparkSession, days: DataFrame) -> DataFrame:
     return forecast.components(forecast.with_trend(_seasonal(frame), inputs), fits)
 
 
+def fit_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of the registry: whether it is fitted on its whole history, or why not."""
+    days = settled_days(spark, folder)
+    names = literal_table(spark, [(s.name,) for s in SEGMENTS], T.StructType([T.StructField("segment", T.StringType())]))
+    windows = names.join(whole_history(days), "segment", "left").select("segment", "cutoff")
+    return forecast.fit_status(days, windows)
+
+
 def forecast_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Coefficients in long form: trend (level, slope, changes), then season (weekly, yearly, holidays)."""
     _, fits = _whole_fit(spark, settled_days(spark, folder))
@@ -262,6 +272,7 @@ def random_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        fit_status,
         forecast_fit,
         forecast_180,
         forecast_components,
@@ -363,6 +374,12 @@ names AS (SELECT segment, CAST(count(DISTINCT ds) AS BIGINT) AS n_days, CAST(cou
 )
 
 ORACLE = {
+    "fit_status": sql.query(
+        OBSERVED,
+        """SELECT segment, max(ds) AS cutoff, CAST(count(ds) AS BIGINT) AS n_rows,
+             CASE count(ds) WHEN 0 THEN 'no history' WHEN 1 THEN 'a single observation' ELSE 'fitted' END AS status
+           FROM (SELECT segment FROM segments) LEFT JOIN observed USING (segment) GROUP BY segment""",
+    ),
     "cv_cutoffs": sql.query(_cutoffs(180), "SELECT * FROM cutoffs", recursive=True),
     "cutoff_ladder": sql.query(
         OBSERVED,

@@ -17,7 +17,7 @@ from tidecast.plans.forecasting import DIGITS, whole_forecast
 from tidecast.session import new_output_dir, settle
 from tidecast.sources import tickets as src
 from tidecast.sources.files import read_csv, write_csv
-from tidecast.sources.registry import SEGMENTS, STAR_DATES, exported_names
+from tidecast.sources.registry import SEGMENTS, STAR_DATES, STAR_LABELS, Dates, Labels, exported_names
 from tidecast.sources.schemas import MONTH_RESULT, SEGMENT_RESULT
 
 EXPORTED = tuple(s for s in SEGMENTS if s.exported)
@@ -33,23 +33,29 @@ def _settled_daily(spark: SparkSession, folder: str) -> DataFrame:
     return settle(src.daily_location(spark, folder))
 
 
-def _compared(daily: DataFrame) -> DataFrame:
-    series = ops.segment_series(daily, segments=EXPORTED)
-    return scoring.actual_vs_forecast(series, scoring.trend_line_forecast(series), STAR_DATES.scored_to)
+def _compared(daily: DataFrame, labels: Labels = STAR_LABELS, dates: Dates = STAR_DATES) -> DataFrame:
+    series = ops.segment_series(daily, labels, EXPORTED)
+    return scoring.actual_vs_forecast(series, scoring.trend_line_forecast(series), dates.scored_to)
 
 
 def _results(daily: DataFrame) -> DataFrame:
     return scoring.accuracy_by_day(_compared(daily))
 
 
-def _model_results(spark: SparkSession, daily: DataFrame) -> DataFrame:
-    rows = ops.segment_rows(daily, segments=EXPORTED)
+def model_results(spark: SparkSession, daily: DataFrame, labels: Labels = STAR_LABELS, dates: Dates = STAR_DATES) -> DataFrame:
+    """The model's result rows for a daily table with the given spelling and dates."""
+    rows = ops.segment_rows(daily, labels, EXPORTED)
     days = settle(ops.series_days(rows))
     found = whole_forecast(spark, days).select("segment", "ds", "yhat")
-    compared = scoring.actual_vs_forecast(ops.roll_up(rows), found, STAR_DATES.scored_to)
+    compared = scoring.actual_vs_forecast(ops.roll_up(rows), found, dates.scored_to)
     return scoring.accuracy_by_day(compared)
 
 
+def model_reconciliation(spark: SparkSession, daily: DataFrame, labels: Labels = STAR_LABELS, dates: Dates = STAR_DATES) -> DataFrame:
+    """The model's forecasts added up over the segments against the total of a daily table, per day."""
+    return scoring.reconcile_daily(scoring.total_actuals(daily), model_results(spark, daily, labels, dates))
+
+
 def actual_vs_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return _round(_compared(_settled_daily(spark, folder)), "yhat")
 
@@ -126,12 +132,12 @@ def export_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_accuracy_by_day(spark: SparkSession, folder: str) -> DataFrame:
-    results = _model_results(spark, _settled_daily(spark, folder))
+    results = model_results(spark, _settled_daily(spark, folder))
     return _round(results, "yhat", "accuracy_by_day", digits=DIGITS)
 
 
 def model_mean_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    return _round(scoring.mean_accuracy(_model_results(spark, _settled_daily(spark, folder))), "accuracy", digits=DIGITS)
+    return _round(scoring.mean_accuracy(model_results(spark, _settled_daily(spark, folder))), "accuracy", digits=DIGITS)
 
 
 def model_export_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +148,7 @@ def model_export_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_column_means(spark: SparkSession, folder: str) -> DataFrame:
-    means = scoring.column_means(_model_results(spark, _settled_daily(spark, folder)))
+    means = scoring.column_means(model_results(spark, _settled_daily(spark, folder)))
     return _round(means, "ds", "y", "yhat", "accuracy_by_day", digits=DIGITS)
 
 
@@ -151,8 +157,7 @@ def model_worst_day(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _model_daily(spark: SparkSession, folder: str) -> DataFrame:
-    daily = _settled_daily(spark, folder)
-    return scoring.reconcile_daily(scoring.total_actuals(daily), _model_results(spark, daily))
+    return model_reconciliation(spark, _settled_daily(spark, folder))
 
 
 def model_reconcile_daily(spark: SparkSession, folder: str) -> DataFrame:
