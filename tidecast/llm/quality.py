@@ -251,7 +251,8 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
            quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scores, limits, model): doc_id, lang, perplexity, n_symbols per row of ``docs``; limit per language; the model."""
     ids = settle(trusted_ids(labels))
-    whole = model(docs.join(ids, docs[doc_id] == ids["trusted_id"], "left_semi"), text)
+    # merged at every size: the labels grow with the documents, so that what is moved grows in proportion
+    whole = model(docs.join(ids.hint("merge"), docs[doc_id] == ids["trusted_id"], "left_semi"), text)
     plain_docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
     scored = with_log_p(plain_docs, whole)
     scores = settle(scored.select("doc_id", "lang", F.exp(-F.col("log_p") / F.col("n_symbols")).alias("perplexity"), "n_symbols"))
