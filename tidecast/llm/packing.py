@@ -17,6 +17,7 @@ import functools
 import json
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,17 +144,18 @@ def _tier_sizes(tokens: int, window: int) -> list[int]:
 
 def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
          ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, rank.
 
     ``tokenizer`` is the path of a tokenizers file that every executor can open. Every row of ``docs`` is
     a document, repeated rows too; NULL or empty text has one token, the end. ``window`` is a power of
-    two and the column of that name is the length of the piece's sequence, a tier size. With ``ids`` the
+    two and the column of that name is the length of the piece's sequence, a tier size; ``rank`` numbers the
+    sequences of a task and tier from 0. With ``ids`` the
     token ids come along as an array. An empty table gives no piece.
     """
     if window & (window - 1) or window < 1:
         raise ValueError("the window has to be a power of two")
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "rank"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names[1:])
     if ids:
         names, schema = [*names, "ids"], schema + ", ids array<bigint>"
@@ -161,22 +163,23 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pool = encoder(tokenizer), Pool(window)
         sequence = TaskContext.get().partitionId() << TASK_BITS
-        key_type, rows = pa.null(), []
+        key_type, rows, ranks = pa.null(), [], Counter()
 
         def put(pieces: list[tuple], size: int) -> None:
             nonlocal sequence
             offset = 0
             for (key, total, before), found, start, length in pieces:
                 part = found[start : start + length]
-                row = (key, before + start, length, zlib.crc32(part.tobytes()), total, sequence, offset, size)
+                row = (key, before + start, length, zlib.crc32(part.tobytes()), total, sequence, offset, size, ranks[size])
                 rows.append((*row, part.astype(np.int64)) if ids else row)
                 offset += length
             sequence += 1
+            ranks[size] += 1
 
         def result() -> pa.RecordBatch:
             columns = list(zip(*rows))
             rows.clear()
-            kinds = [key_type, *[pa.int64()] * 7, *[pa.list_(pa.int64())] * ids]
+            kinds = [key_type, *[pa.int64()] * 8, *[pa.list_(pa.int64())] * ids]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
         for batch in batches:
@@ -212,14 +215,10 @@ def step_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
     what ``pack`` returns. The running counts per task and tier come from a table of at most
     tasks x tiers rows.
     """
-    pieces = settle(pieces)
-    task = F.shiftright("sequence_id", TASK_BITS)
-    sequences = pieces.where("offset = 0").select("sequence_id", "window", task.alias("task"))
-    sizes = sequences.groupBy("window", "task").agg(F.count("*").alias("n"))
+    pieces = settle(pieces.withColumn("task", F.shiftright("sequence_id", TASK_BITS)))
+    sizes = pieces.groupBy("window", "task").agg((F.max("rank") + 1).alias("n"))
     before = F.sum("n").over(Window.partitionBy("window").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("window", "task", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("window", "task").orderBy("sequence_id")) - 1
-    numbered = sequences.withColumn("rank", rank).join(sizes, ["window", "task"])
     per_step = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("window")))
-    steps = numbered.select("sequence_id", F.floor((F.col("rank") + F.col("before")) / per_step).alias("step"))
-    return pieces.join(steps, "sequence_id")
+    step = F.floor((F.col("rank") + F.col("before")) / per_step)
+    return pieces.join(sizes, ["window", "task"]).withColumn("step", step).drop("before", "task", "rank")
