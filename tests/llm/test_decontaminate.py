@@ -96,3 +96,39 @@ def test_seeds_are_in_every_stretch():
     places = decontaminate.seeds(grams, {int(g): 100 + int(g) % 5 for g in grams})
     assert max(np.diff([-1, *places, 29])) <= decontaminate.STRIDE
     assert decontaminate.seeds(grams[:2], {1: 5}) == [1]
+
+
+def test_regular_edits_of_a_single_copy(spark):
+    """Every 4th, 5th or 6th word replaced, each item in one document only; brute force tells what is above the limit."""
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    items = [text(rng.choice([20, 40, 60])) for _ in range(90)]
+    docs = []
+    for i, item in enumerate(items):
+        step = 4 + i % 3
+        copy = [f"x{rng.randrange(4000)}" if k % step == i % step else w for k, w in enumerate(item)]
+        body = text(150)
+        body[70:70] = copy
+        docs.append((i, " ".join(body)))
+    # full copies of some, so that what an edit destroyed stands in documents too
+    docs += [(1000 + i, " ".join(text(30) + items[i] + text(30))) for i in range(0, 90, 4)]
+    vocabulary, want = {}, {}
+    number = lambda words: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+    for key, content in docs:
+        words = number(content.split())
+        for i, item in enumerate(items):
+            score = align(number(item), words)[0] / (MATCH * len(item))
+            if score >= decontaminate.THRESHOLD:
+                want[key, i] = score
+    assert set(want) == {(i, i) for i in range(90)} | {(1000 + i, i) for i in range(0, 90, 4)}
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(frame, tests).collect()}
+    assert found == want
+
+
+def test_common_wording_keeps_a_seed():
+    grams = np.arange(1, 30, dtype=np.uint64)
+    assert decontaminate.all_seeds(grams, {5: 1, 6: 2}, set()) == [4, 5]
+    places = decontaminate.all_seeds(grams, {g: 100 + g % 5 for g in range(2, 30)}, set(range(1, 30)))
+    assert 0 not in places and len(places) < 12 and max(np.diff([0, *places, 29])) <= decontaminate.STRIDE

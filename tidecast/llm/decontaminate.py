@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds find passages, local alignment scores them.
 
 1. The n-grams of the test items are counted over all training documents (document frequency).
-2. Of every STRIDE n-grams in a row of an item the rarest one is a seed. However common a passage is, each
-   stretch of STRIDE + SEED - 1 words keeps a seed, so no item is lost, and common wording does not start
-   alignments.
-3. A seed joins the documents that hold it to the item. Around each diagonal with seeds the item is aligned
+2. Every n-gram of an item that stands in documents is a seed, unless it is common wording: in many documents and
+   in many items. Of every STRIDE n-grams in a row the rarest that stands in documents is one in any case.
+   So an edited copy is found by any n-gram that its edits left.
+3. A seed joins the documents that hold it to the item. Passages with too few words of the item to reach the limit
+   are not aligned. Around each diagonal with seeds the item is aligned
    with the passage (Smith and Waterman, 1981: local, linear gaps), so edited and paraphrased copies score
    by how much of them is left. The score is that of the best alignment divided by that of a full copy.
 
@@ -16,6 +17,7 @@ documents share costs no more than its alignments.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -31,6 +33,8 @@ SEED, STRIDE, BLOCK_CHARS = 3, 4, 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a full copy's score from which on a passage counts as a copy.
 THRESHOLD = 0.4
+#: Common n-grams stand in more than this share of the documents and in more than so many items of a block.
+COMMON_SHARE, COMMON_ITEMS = 0.01, 50
 
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -118,19 +122,22 @@ def _at(found: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """In how many rows of ``docs`` each n-gram of the block stands; a task counts its rows before the shuffle."""
+    """In how many rows of ``docs`` each n-gram of the block stands, and under 0 the number of rows; a task counts its rows
+    before the shuffle."""
     sizes = sorted(set(items.sizes))
     wanted = {n: np.unique(np.concatenate([g for g, k in zip(items.grams(), items.sizes) if k == n])) for n in sizes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {n: np.zeros(w.size, np.int64) for n, w in wanted.items()}
+        counts, rows = {n: np.zeros(w.size, np.int64) for n, w in wanted.items()}, 0
         for batch in batches:
+            rows += batch.num_rows
             for (text,) in rows_of(batch, "content"):
                 ids = items.of(text)
                 for n, ordered in wanted.items():
                     found = codes(ids, n)
                     here = np.unique(found[_at(found, ordered)])
                     counts[n][np.searchsorted(ordered, here)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names=["gram", "n"])
         for n, ordered in wanted.items():
             some = np.flatnonzero(counts[n])
             yield pa.RecordBatch.from_arrays(
@@ -150,6 +157,17 @@ def seeds(grams: np.ndarray, frequency: dict[int, int], stride: int = STRIDE) ->
     return np.unique(np.argmin(windows, axis=1) + np.arange(windows.shape[0])).tolist()
 
 
+def all_seeds(grams: np.ndarray, frequency: dict[int, int], common: set[int]) -> list[int]:
+    """Places of all n-grams that stand in documents; ``common`` ones only where they are the rarest of STRIDE in a row."""
+    here = [frequency.get(g, 0) > 0 for g in grams.tolist()]
+    found = np.array([h and g not in common for h, g in zip(here, grams.tolist())])
+    # an n-gram that stands in no document is the last to be chosen
+    ordered = {g: frequency.get(g, 0) or 1 << 62 for g in grams.tolist()}
+    for place in seeds(grams, ordered):
+        found[place] |= here[place]
+    return np.flatnonzero(found).tolist()
+
+
 def _passages(places: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
     """Stretches of the document to align: seeds (place in document, place in item) give diagonals; a stretch
     reaches half an item beyond both ends, and stretches that touch are one."""
@@ -170,8 +188,11 @@ class Matcher:
         self.items, self.threshold = items, threshold
         #: Per n-gram size: which items have the seed, and where.
         self.owners: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in set(items.sizes)}
+        owned = Counter(g for grams in items.grams() for g in set(grams.tolist()))
+        least = COMMON_SHARE * frequency.get(0, 0)
+        common = {g for g, n in owned.items() if n > COMMON_ITEMS and frequency.get(g, 0) > least}
         for k, (grams, n) in enumerate(zip(items.grams(), items.sizes)):
-            for place in seeds(grams, frequency):
+            for place in all_seeds(grams, frequency, common):
                 self.owners[n].setdefault(int(grams[place]), []).append((k, place))
         self.ordered = {n: np.array(sorted(o), np.uint64) for n, o in self.owners.items()}
 
@@ -186,7 +207,11 @@ class Matcher:
         best: dict = {}
         for k, places in hits.items():
             item, key = self.items.words[k], self.items.keys[k]
+            limit = self.threshold * MATCH * item.size
             for low, high in _passages(places, item.size, ids.size):
+                # each match takes a word of the item and one of the passage
+                if MATCH * np.isin(item, ids[low:high]).sum() < limit:
+                    continue
                 score, start, end = align(item, ids[low:high])
                 share = score / (MATCH * item.size)
                 if share >= self.threshold and share > best.get(key, (0.0,))[0]:
