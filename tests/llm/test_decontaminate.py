@@ -132,3 +132,18 @@ def test_common_wording_keeps_a_seed():
     assert decontaminate.all_seeds(grams, {5: 1, 6: 2}, set()) == [4, 5]
     places = decontaminate.all_seeds(grams, {g: 100 + g % 5 for g in range(2, 30)}, set(range(1, 30)))
     assert 0 not in places and len(places) < 12 and max(np.diff([0, *places, 29])) <= decontaminate.STRIDE
+
+
+def test_excerpt_of_a_long_item(spark):
+    rng = random.Random(7)
+    text = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    item = text(400)
+    excerpts = {1: item[100:250], 2: item[350:], 3: item[:45], 4: []}
+    docs = [(k, " ".join(text(60) + part + text(60))) for k, part in excerpts.items()]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    tests = spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")
+    found = {r["doc_id"]: r for r in decontaminate.contaminated(frame, tests).collect()}
+    # 45 words are neither a long run nor a large share
+    assert set(found) == {1, 2}
+    assert found[1]["score"] == 0.375 and (found[1]["first_word"], found[1]["end_word"]) == (60, 210)
+    assert {r["doc_id"] for r in decontaminate.remove_contaminated(frame, tests).collect()} == {3, 4}

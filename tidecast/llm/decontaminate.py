@@ -7,7 +7,8 @@
 3. A seed joins the documents that hold it to the item. Passages with too few words of the item to reach the limit
    are not aligned. Around each diagonal with seeds the item is aligned
    with the passage (Smith and Waterman, 1981: local, linear gaps), so edited and paraphrased copies score
-   by how much of them is left. The score is that of the best alignment divided by that of a full copy.
+   by how much of them is left. The score is that of the best alignment divided by that of a full copy. A long
+   excerpt of a long item counts by its absolute score.
 
 Test items are few and small beside the training text. They are taken in blocks of at most BLOCK_CHARS
 characters; a block is all that is sent to the tasks, and each block passes over the documents. The
@@ -33,6 +34,8 @@ SEED, STRIDE, BLOCK_CHARS = 3, 4, 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a full copy's score from which on a passage counts as a copy.
 THRESHOLD = 0.4
+#: A passage that scores as a verbatim run of so many words is a copy, whatever share of a long item it is.
+RUN_WORDS = 50
 #: Common n-grams stand in more than this share of the documents and in more than so many items of a block.
 COMMON_SHARE, COMMON_ITEMS = 0.01, 50
 
@@ -184,8 +187,8 @@ def _passages(places: list[tuple[int, int]], size: int, length: int) -> list[tup
 class Matcher:
     """Finds the items of one block in a text."""
 
-    def __init__(self, items: Items, frequency: dict[int, int], threshold: float):
-        self.items, self.threshold = items, threshold
+    def __init__(self, items: Items, frequency: dict[int, int], threshold: float, run_words: int = RUN_WORDS):
+        self.items, self.threshold, self.run_words = items, threshold, run_words
         #: Per n-gram size: which items have the seed, and where.
         self.owners: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in set(items.sizes)}
         owned = Counter(g for grams in items.grams() for g in set(grams.tolist()))
@@ -207,20 +210,20 @@ class Matcher:
         best: dict = {}
         for k, places in hits.items():
             item, key = self.items.words[k], self.items.keys[k]
-            limit = self.threshold * MATCH * item.size
+            limit = min(self.threshold * MATCH * item.size, MATCH * self.run_words)
             for low, high in _passages(places, item.size, ids.size):
                 # each match takes a word of the item and one of the passage
-                if MATCH * np.isin(item, ids[low:high]).sum() < limit:
+                if MATCH * np.isin(item, ids[low:high]).sum() < limit - 1e-6:
                     continue
                 score, start, end = align(item, ids[low:high])
                 share = score / (MATCH * item.size)
-                if share >= self.threshold and share > best.get(key, (0.0,))[0]:
+                if (share >= self.threshold or score >= MATCH * self.run_words) and share > best.get(key, (0.0,))[0]:
                     best[key] = share, low + start, low + end
         return [(key, *found) for key, found in best.items()]
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-             threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> list[Matcher]:
+             threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS, run_words: int = RUN_WORDS) -> list[Matcher]:
     """A matcher for each block of items, seeds by the counts over all of ``docs``. All items of one id are in one block."""
     content = docs.select(plain(text).alias("content"))
     tests = benchmark.select(F.col(item_id).alias("item_id"), plain(item_text).alias("content"))
@@ -231,7 +234,7 @@ def matchers(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         # the order of the items does not depend on the order of their rows
         items = Items(sorted(map(tuple, rows), key=lambda r: (r[0] is None, str(r[0]), r[1])))
         if items.keys:
-            made.append(Matcher(items, _document_counts(content, items), threshold))
+            made.append(Matcher(items, _document_counts(content, items), threshold, run_words))
     return made
 
 
@@ -239,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                  **options) -> DataFrame:
     """One row per document and item it holds a copy of: doc_id, item_id, score, first_word, end_word.
 
-    ``score`` is 1 for a full copy and at least the threshold; the words are counted from 0 in the
+    ``score`` is 1 for a full copy and at least the threshold, or the share that a run of RUN_WORDS words has
+    of a long item; the words are counted from 0 in the
     document, ``end_word`` is not part of the passage. Of several passages the best, then the first is
     given. Repeated rows of ``docs`` give repeated rows; items of one id are one item with several texts.
     NULL and empty texts hold and match nothing; without items or documents the result is empty.
