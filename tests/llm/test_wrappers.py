@@ -84,3 +84,18 @@ def test_tricky_rows(spark):
     texts = {1: "x & y", None: "p"}
     assert found == sorted(((i, u, texts.get(i, ""), len(texts.get(i, ""))) for i, u, _ in rows), key=str)
     assert wrappers.extract(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_mixed_layouts_of_a_host_and_of_pages_without_one(spark):
+    rows, want = [], {}
+    for k, url in enumerate(["http://a.b/{}", "no host {}"]):
+        for i in range(12):
+            body, text = [
+                (f"<article><p>card {i}</p></article><div>more</div>", f"card {i}"),
+                (f"<div class=post><p>post {i}</p></div>", f"post {i}"),
+                (f"<main><p>page {i}</p></main><div>more</div>", f"page {i}"),
+            ][i % 3]
+            rows.append((100 * k + i, url.format(i), f"<body><nav>N</nav><div>Site name</div>{body}</body>"))
+            want[100 * k + i] = text
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(frame(spark, rows)).collect()}
+    assert found == want

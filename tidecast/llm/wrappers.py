@@ -14,9 +14,9 @@ wrappers of the tasks are folded, in two steps for hosts with many tasks. What i
 size is bounded by the host's markup and not by its pages.
 
 In a wrapper the template part is found once per host: elements for navigation, notices, adverts, forms
-and comments by what they are called; in hosts without an article element also the slots whose text never
-changes over several pages. The rest is the main text: the articles, else the main element, else the body.
-Every page is then read with its host's wrapper, whole.
+and comments by what they are called; in pages without an article or main element also the slots whose text never
+changes over several pages of the host. The rest is the main text: the page's articles, else its main element, else
+its body. A host's pages may have different layouts; each is read by what it holds itself.
 """
 
 from __future__ import annotations
@@ -306,41 +306,42 @@ class Wrapper:
     """A host's wrapper made ready to read pages: which elements, by their path of names, are template."""
 
     def __init__(self, root: Node):
-        kinds, todo = set(), [root]
-        while todo:
-            node = todo.pop()
-            if not is_template(node.name, False):
-                kinds |= {"article"} if node.name.split(" ")[0] == "article" else {"main"} if _is_main(node.name) else set()
-                todo += node.children
-        #: Where the main text of the host is: article elements, the main element, or the body.
-        self.root = "article" if "article" in kinds else "main" if "main" in kinds else ""
         self.paths: dict[tuple, bool] = {}
         self._mark(root, (), False)
 
     def _mark(self, node: Node, path: tuple, inside: bool) -> None:
         tag = node.name.split(" ")[0]
-        constant = not self.root and bool(node.text) and not node.varies and node.pages >= LEAST_PAGES and tag != "body"
+        constant = bool(node.text) and not node.varies and node.pages >= LEAST_PAGES and tag != "body"
         template = is_template(node.name, inside) or constant
         self.paths[path] = template and self.paths.get(path, True)
         for child in node.children:
             self._mark(child, (*path, child.name), inside or tag in ("article", "main"))
 
-    def _holds(self, name: str) -> bool:
-        return name.split(" ")[0] == "article" if self.root == "article" else _is_main(name)
-
     def read(self, page: str) -> str:
         """The main text of a page: decoded, white space inside a block as one blank, blocks joined by an empty line.
 
-        A page of which the wrapper holds all for template (copies of one page) is read without what never
-        changes being left out.
+        The main text is in the page's own article elements, else in its main element, else in its body without the
+        template part of the host. A page of which the wrapper holds all for template (copies of one page) is read
+        without what never changes being left out.
         """
-        return self._read(page, self.paths) or ("" if self.root else self._read(page, {}))
-
-    def _read(self, page: str, paths: dict) -> str:
+        low = page.lower()
+        for root in ("article", "main"):
+            if root in low:
+                text, found = self._read(page, {}, root)
+                if found:
+                    return text
+        return self._read(page, self.paths, "")[0] or self._read(page, {}, "")[0]
+
+    @staticmethod
+    def _read(page: str, paths: dict, root: str) -> tuple[str, bool]:
+        """The text inside the elements of the kind ``root`` (all for none), and whether the page has one."""
         blocks: list[str] = []
         parts: list[str] = []
         path: list[str] = []
-        skipping, wanted, articles = 0, 0, 0
+        skipping, wanted, articles, found = 0, 0, 0, False
+
+        def holds(name: str) -> bool:
+            return name.split(" ")[0] == "article" if root == "article" else _is_main(name)
 
         def end_block() -> None:
             if parts:
@@ -360,8 +361,9 @@ class Wrapper:
                     known = paths.get(tuple(path)) if len(path) <= DEPTH else None
                     if is_template(value, articles > 0) if known is None else known:
                         skipping = 1
-                    elif self.root:
-                        wanted += self._holds(value)
+                    elif root:
+                        wanted += holds(value)
+                        found = found or wanted > 0
                 articles += tag in ("article", "main")
             elif kind == "close":
                 value = path.pop()
@@ -370,14 +372,14 @@ class Wrapper:
                 articles -= tag in ("article", "main")
                 if skipping:
                     skipping -= 1
-                elif self.root:
-                    wanted -= self._holds(value)
-            elif not skipping and (wanted or not self.root):
+                elif root:
+                    wanted -= holds(value)
+            elif not skipping and (wanted or not root):
                 parts.append(entities.unescape(value) if kind == "text" else " " if tag in ("br", "hr") else "")
                 if tag == "hr":
                     end_block()
         end_block()
-        return "\n\n".join(blocks)
+        return "\n\n".join(blocks), found
 
 
 @functools.lru_cache(maxsize=4096)
