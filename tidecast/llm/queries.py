@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, licenses, packing, prefixes, quality, sharding, simhash, toxicity, urls, wrappers
+from tidecast.llm import decontaminate, licenses, merkle, packing, prefixes, quality, sharding, simhash, toxicity, urls, wrappers
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +71,11 @@ def op10_quality_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return quality.decide(scores, limits)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and the root that folding finds after a third of the texts lost their capitals."""
+    return merkle.with_tampered(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -82,5 +87,6 @@ QUERIES = {
     "op8_hierarchical_packing": op8_hierarchical_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_perplexity": op10_quality_perplexity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE, "op7_url_filter": urls.ORACLE_JUDGE}
+ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE, "op7_url_filter": urls.ORACLE_JUDGE, "op11_merkle_manifest": merkle.ORACLE_TAMPERED}
