@@ -10,7 +10,7 @@ from tidecast.llm import decontaminate, quality, toxicity
 
 def test_stages_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_dedup", "decontamination", "packing"]
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in driver.queries() if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in driver.queries() if q.startswith("op") and q[2].isdigit()}
     assert driver.queries()["pipeline"] is corpus_pipeline.run
 
 

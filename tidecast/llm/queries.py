@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import decontaminate, licenses, merkle, packing, prefixes, quality, sharding, simhash, toxicity, urls, wrappers
+from tidecast.llm import decontaminate, licenses, merkle, mixing, packing, prefixes, quality, sharding, simhash, toxicity, urls, variants, wrappers
 from tidecast.llm.common import table, unsigned_hex
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,6 +76,16 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.with_tampered(table(spark, folder, "documents"))
 
 
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mixture of 150 % of all words takes, the sources weighing 5, 2, 1 in turn."""
+    return mixing.taken(table(spark, folder, "documents")).drop("source")
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word of all documents, some spelled wrong, with its more frequent form and the root of its group."""
+    return variants.groups(variants.word_counts(table(spark, folder, "documents"), variants.with_slips))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -88,5 +98,12 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_perplexity": op10_quality_perplexity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_spelling_variants": op13_spelling_variants,
+}
+ORACLE = {
+    "op5_shard_placement": sharding.ORACLE_PLACE,
+    "op7_url_filter": urls.ORACLE_JUDGE,
+    "op11_merkle_manifest": merkle.ORACLE_TAMPERED,
+    "op13_spelling_variants": variants.ORACLE_SLIPS,
 }
-ORACLE = {"op5_shard_placement": sharding.ORACLE_PLACE, "op7_url_filter": urls.ORACLE_JUDGE, "op11_merkle_manifest": merkle.ORACLE_TAMPERED}
