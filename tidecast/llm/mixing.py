@@ -31,8 +31,8 @@ BLOCK, SLOTS = 64, 1 << 16
 SHARE, MOST = 1.5, 2
 #: Sources that a plan may have: it holds a line of figures for each.
 SOURCES = 100_000
-#: Slots numbered at once.
-BATCH = 1 << 14
+#: Slots numbered at once; shards that a task numbers.
+BATCH, TASK_SHARDS = 1 << 14, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -194,7 +194,9 @@ def _numbered(draws: DataFrame, drawn: np.ndarray, quotas: np.ndarray, blocks: n
                          pa.array(owners.astype(np.int32)), pa.array(turns.astype(np.int32)), pa.array(found)],
                         names=["shard", "slot", "number", "turn", "block"])
 
-    return draws.mapInArrow(run, "shard bigint, slot bigint, number int, turn int, block bigint")
+    # the draws are a small table and a task's work follows the slots, so the tasks follow the shards
+    tasks = max(1, -(-total // (slots * TASK_SHARDS)))
+    return draws.repartition(tasks, "shard").mapInArrow(run, "shard bigint, slot bigint, number int, turn int, block bigint")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] | Mapping[str | None, float], share: float = SHARE, most: int = MOST, block: int = BLOCK,
