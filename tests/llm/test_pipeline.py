@@ -3,8 +3,8 @@ from __future__ import annotations
 import corpus_pipeline
 import __spark_entry__ as driver
 from tests.llm import cases
+from tests.llm.test_minhash import brute_force
 from tests.llm.test_packing import check_pieces
-from tests.llm.test_simhash import plain_print
 from tidecast.llm import decontaminate, quality, toxicity
 
 
@@ -28,16 +28,7 @@ def test_every_stage_does_its_work(spark, folder):
     good = {r["doc_id"] for r in quality.decide(scores, limits).where("keep").collect()}
     assert {r["doc_id"] for r in after_two.collect()} == good
     after_three = three(spark, after_two, folder).cache()
-    rows = sorted((r["doc_id"], plain_print(r["text"])) for r in after_two.collect())
-    left, kept = dict(rows), set()
-    for key, _ in rows:
-        if key in left:
-            kept.add(key)
-            todo = [left.pop(key)]
-            while todo:
-                here = todo.pop()
-                near = [k for k, p in left.items() if (p ^ here).bit_count() <= 4]
-                todo += [left.pop(k) for k in near]
+    kept = set(brute_force(sorted((r["doc_id"], r["text"]) for r in after_two.collect())))
     assert after_three.columns == names and {r["doc_id"] for r in after_three.collect()} == kept
     after_four = four(spark, after_three, folder).cache()
     dirty = {r["doc_id"] for r in decontaminate.contaminated(after_three, items).collect()}
