@@ -31,8 +31,6 @@ GRID_INITIAL = 366
 LADDER_STEPS = 6
 LADDER_STEP = 30
 METRIC_SHARE = 0.1
-# Below this a count that was interpolated is zero.
-SMALLEST_COUNT = 1e-9
 
 
 def generated_cutoffs(days: DataFrame, initial: int, period: int = PERIOD, horizon: int = HORIZON) -> DataFrame:
@@ -142,7 +140,7 @@ def _errors() -> dict[str, Column]:
         "ae": miss,
         "ape": ratio(miss, F.abs(y)),
         "sape": ratio(miss, (F.abs(y) + F.abs(yhat)) / 2),
-        "inside": inside.cast("int").cast("double"),
+        "inside": inside.cast("bigint"),
     }
 
 
@@ -173,7 +171,8 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
     its mean as is missing. With running sums that is one lookup: the sum at the row count w
     earlier, interpolated inside the day it falls into. Days with fewer than w rows behind them
     have no value. A mean divides by the known errors of its measure: a percentage error of a zero
-    actual is unknown and takes no part.
+    actual is unknown and takes no part. Counts are whole numbers throughout: the coverage is one division of
+    them, so no order of summation moves it.
     """
     errors = _errors()
     names = list(errors)
@@ -182,7 +181,7 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
     )
     by_day = rows.groupBy("segment", "horizon").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names],
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
         *[F.count(n).alias(f"known_{n}") for n in names],
     )
     names = [*names, *[f"known_{n}" for n in names]]
@@ -203,13 +202,15 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
     answer = F.first(F.when(F.col("mark.kind") == 0, day), ignorenulls=True).over(after)
     met = marks.withColumn("day", answer).filter(F.col("mark.kind") == 1)
 
+    # Rows of the earliest day that the window takes, times the day's rows: whole numbers.
+    rows_of_day, taken = F.col("day.n"), F.col("day.cum_n") - F.col("mark.at")
+
     def inside(n: str) -> Column:
-        missing = F.col(f"day.{n}") * (F.col("day.cum_n") - F.col("mark.at")) / F.col("day.n")
-        return F.col(f"cum_{n}") - (F.col(f"day.cum_{n}") - missing)
+        """The window's sum of n, times the rows of its earliest day."""
+        return (F.col(f"cum_{n}") - F.col(f"day.cum_{n}")) * rows_of_day + F.col(f"day.{n}") * taken
 
     def mean(n: str) -> Column:
-        known = inside(f"known_{n}")
-        return F.when(known > SMALLEST_COUNT, inside(n) / known)
+        return ratio(inside(n), inside(f"known_{n}"))
 
     return met.select(
         "segment",

@@ -177,7 +177,7 @@ METRICS = ("mse", "rmse", "mae", "mape", "mdape", "smape", "coverage")
 
 def _rounded(metrics: DataFrame, digits: int = 6) -> DataFrame:
     keys = [c for c in metrics.columns if c not in METRICS]
-    return metrics.select(*keys, *[rounded(F.col(m), digits).alias(m) for m in METRICS])
+    return metrics.select(*keys, *[rounded(F.col(m), 6 if m == "coverage" else digits).alias(m) for m in METRICS])
 
 
 def cv_metrics_by_horizon(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,13 +348,16 @@ sizes AS (SELECT segment, greatest(CAST(floor(count(*) * CAST(0.1 AS DOUBLE)) AS
 per_day AS (SELECT segment, horizon, count(*) AS n FROM errors GROUP BY ALL),
 upto AS (SELECT segment, horizon, n, w, CAST(sum(n) OVER (PARTITION BY segment ORDER BY horizon) AS BIGINT) AS cum
          FROM per_day JOIN sizes USING (segment)),
-weights AS (SELECT e.segment, e.horizon, e.w, d.horizon AS day, least(1.0, (e.w - (e.cum - d.cum)) / CAST(d.n AS DOUBLE)) AS weight
+weights AS (SELECT e.segment, e.horizon, e.w, d.horizon AS day, d.n, least(d.n, e.w - (e.cum - d.cum)) AS part,
+              least(1.0, (e.w - (e.cum - d.cum)) / CAST(d.n AS DOUBLE)) AS weight
             FROM upto e JOIN upto d ON d.segment = e.segment AND d.horizon <= e.horizon AND e.cum - d.cum < e.w
             WHERE e.cum >= e.w),
 means AS (SELECT k.segment, k.horizon, sum(weight * se) / any_value(w) AS mse, sum(weight * ae) / any_value(w) AS mae,
             sum(weight * ape) / nullif(sum(weight) FILTER (ape IS NOT NULL), 0) AS mape,
             sum(weight * sape) / nullif(sum(weight) FILTER (sape IS NOT NULL), 0) AS smape,
-            sum(weight * inside) / any_value(w) AS coverage
+            (sum(inside) FILTER (part = n) * max(n) FILTER (part < n) + sum(inside) FILTER (part < n) * max(part) FILTER (part < n))
+              / (max(n) FILTER (part < n) * any_value(w)) AS part_coverage,
+            coalesce(part_coverage, sum(inside) / any_value(w)) AS coverage
           FROM weights k JOIN errors r ON r.segment = k.segment AND r.horizon = k.day GROUP BY ALL),
 placed AS (SELECT segment, horizon, ape, row_number() OVER (PARTITION BY segment ORDER BY horizon, cutoff, ds, ape) AS row FROM errors),
 ends AS (SELECT segment, horizon, w, min(row) AS a, max(row) AS b FROM placed JOIN sizes USING (segment) GROUP BY ALL),
@@ -541,11 +544,11 @@ space AS (SELECT names.segment, round(CAST(0.01 AS DOUBLE) + i * CAST(0.005 AS D
                 FROM errors JOIN modes USING (segment) GROUP BY segment""",
             recursive=True,
         ),
-        "cv_model_metrics": sql.query(_cv(_generated(180)), _OVERALL.replace(", 6)", f", {DIGITS})"), recursive=True),
+        "cv_model_metrics": sql.query(_cv(_generated(180)), _OVERALL.replace(", 6)", f", {DIGITS})").replace(f"avg(inside), {DIGITS})", "avg(inside), 6)"), recursive=True),
         "model_metrics_by_horizon": sql.query(
             _cv(_generated(180)) + _BY_HORIZON.replace("per_day", "horizon_day").replace("placed", "ordered_rows"),
             f"""SELECT segment, horizon, {_d('mse')} AS mse, {_d('sqrt(mse)')} AS rmse, {_d('mae')} AS mae, {_d('mape')} AS mape,
-                  {_d('mdape')} AS mdape, {_d('smape')} AS smape, {_d('coverage')} AS coverage
+                  {_d('mdape')} AS mdape, {_d('smape')} AS smape, {sql.rnd('coverage')} AS coverage
                 FROM means JOIN medians USING (segment, horizon)""",
             recursive=True,
         ),
