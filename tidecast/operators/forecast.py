@@ -1,6 +1,7 @@
 """Decomposable forecast: piecewise-linear trend, weekly and yearly seasonality, holidays.
 
-The model of Taylor and Letham, "Forecasting at Scale" (2018), solved by penalised least squares.
+The model of Taylor and Letham, "Forecasting at Scale" (2018), solved by penalised least squares: a lasso over the trend
+changes, whose exact solution is found on its path.
 Spark builds every regressor, groups the daily rows by segment and cutoff and evaluates the result;
 the code inside a group only solves small normal equations, for all settings of the group at once.
 A group holds one row per date, so the calendar bounds it whatever the ticket volume.
@@ -14,16 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.numbers import dot
+from tidecast.operators import lasso
 from tidecast.operators.features import N_WEEKLY, N_YEARLY, changepoint_dates, training_spans
 
-# Fixed values of the model: rounds of the solver, prior scale of holidays, 80 % normal quantile,
-# size from which a trend change is reported as significant, smallest values the penalties use.
-PENALTY_ROUNDS = 3
+# Fixed values of the model: turns of trend and season in multiplicative mode, prior scale of holidays, 80 % normal
+# quantile, size from which a trend change is reported as significant, smallest variance the penalties use.
 ALTERNATIONS = 2
 HOLIDAY_SCALE = 10.0
 BAND_QUANTILE = 1.2815515655446004
 SIGNIFICANT = 0.01
-SMALLEST_DELTA = 1e-4
 SMALLEST_VARIANCE = 1e-8
 
 WINDOW = ["segment", "cutoff"]
@@ -73,16 +73,6 @@ def _solve(lhs: np.ndarray, rhs: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.linalg.solve(a, np.broadcast_to(rhs, (len(penalty), size))[..., None])[..., 0]
 
 
-def _solve_trend(lhs, rhs, penalty, deltas: slice, variance: float, cps: np.ndarray) -> np.ndarray:
-    """Laplace prior on the trend changes by reweighted ridge on one and the same matrix."""
-    typical = np.broadcast_to(cps[:, None], penalty[:, deltas].shape)
-    for _ in range(PENALTY_ROUNDS):
-        penalty[:, deltas] = variance / (cps[:, None] * typical)
-        solution = _solve(lhs, rhs, penalty)
-        typical = np.maximum(np.abs(solution[:, deltas]), SMALLEST_DELTA)
-    return solution
-
-
 def _weighted_products(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
     """X' diag(w) X for every row ``w`` of ``weights``."""
     i, j = np.triu_indices(x.shape[1])
@@ -116,21 +106,29 @@ def fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps):
     both = np.hstack([trend, season])
     products, moments = both.T @ (n[:, None] * both), both.T @ (n * mean)
     variance = _noise_variance(products, moments, squares, n.sum())
-    season_penalty = np.empty((len(cps), p))
-    season_penalty[:] = variance / sps[:, None] ** 2
-    season_penalty[:, N_WEEKLY + N_YEARLY :] = variance / HOLIDAY_SCALE**2
-    trend_penalty = np.zeros((len(cps), q))
+
+    def season_penalty(scales: np.ndarray) -> np.ndarray:
+        penalty = np.empty((len(scales), p))
+        penalty[:] = variance / scales[:, None] ** 2
+        penalty[:, N_WEEKLY + N_YEARLY :] = variance / HOLIDAY_SCALE**2
+        return penalty
+
     if not multiplicative:
-        penalty = np.hstack([trend_penalty, season_penalty])
-        found = _solve_trend(products, moments, penalty, deltas, variance, cps)
+        # One path for every season scale answers all its trend scales.
+        scales, owner = np.unique(sps, return_inverse=True)
+        penalty = np.hstack([np.zeros((len(scales), q)), season_penalty(scales)])
+        paths = len(scales)
+        lhs, rhs = np.broadcast_to(products, (paths, *products.shape)), np.broadcast_to(moments, (paths, q + p))
+        found = lasso.with_ridge(lhs, rhs, penalty, deltas, owner, variance / cps)
         return found[:, :q], found[:, q:]
+    own = np.arange(len(cps))
     factor = np.ones((len(cps), len(n)))
     for _ in range(ALTERNATIONS):
         lhs, rhs = _weighted_products(n * factor**2, trend), (n * mean * factor) @ trend
-        a = _solve_trend(lhs, rhs, trend_penalty, deltas, variance, cps)
+        a = lasso.with_ridge(lhs, rhs, np.zeros((len(cps), q)), deltas, own, variance / cps)
         level = a @ trend.T
         lhs, rhs = _weighted_products(n * level**2, season), (n * level * (mean - level)) @ season
-        b = _solve(lhs, rhs, season_penalty)
+        b = _solve(lhs, rhs, season_penalty(sps))
         factor = 1.0 + b @ season.T
     return a, b
 

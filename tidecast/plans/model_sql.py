@@ -1,7 +1,8 @@
 """DuckDB twin of the decomposable model: regressors, normal equations and elimination in SQL.
 
 The text is put together from small pieces because a fit is a chain of solves. ``gid`` names a
-segment and cutoff, ``sid`` a setting of it.
+segment and cutoff, ``sid`` a setting of it. The lasso over the trend changes is followed event by event until the
+path has come down to the setting's penalty.
 """
 
 from __future__ import annotations
@@ -127,10 +128,10 @@ settings AS MATERIALIZED (
     results = []
     if "additive" in modes:
         text += """,
-add_cells AS (SELECT sid, i, j, v, jitter FROM joint JOIN settings USING (gid) WHERE mode = 'additive')"""
+add_cells AS (SELECT sid, i, j, size, v, jitter FROM joint JOIN settings USING (gid) WHERE mode = 'additive')"""
         text += _penalised("add", _SEASON_BOTH)
         results.append(
-            "SELECT sid, gid, param_id, mode, b[1:q] AS a, b[q + 1:len(b)] AS b FROM add3 JOIN settings USING (sid)"
+            "SELECT sid, gid, param_id, mode, b[1:q] AS a, b[q + 1:len(b)] AS b FROM add JOIN settings USING (sid)"
         )
     if "multiplicative" in modes:
         text += """,
@@ -138,16 +139,16 @@ mul0 AS MATERIALIZED (SELECT sid, ds, n, y, tx, sx, CAST(1 AS DOUBLE) AS f FROM
         for turn in (1, 2):
             rows = f"mul{turn - 1}"
             text += _products(f"level{turn}_p", rows, "sid", "tx", "n * f * f", "n * y * f")
-            text += f",\nlevel{turn}_cells AS (SELECT sid, i, j, v, jitter FROM level{turn}_p)"
-            text += _penalised(f"level{turn}_", "0.0", cells=f"level{turn}_cells")
+            text += f",\nlevel{turn}_cells AS (SELECT sid, i, j, size, v, jitter FROM level{turn}_p)"
+            text += _penalised(f"level{turn}", "0.0")
             text += f""",
-swing{turn}_rows AS MATERIALIZED (SELECT sid, n, y, sx, list_inner_product(b, tx) AS g FROM {rows} JOIN level{turn}_3 USING (sid))"""
+swing{turn}_rows AS MATERIALIZED (SELECT sid, n, y, sx, list_inner_product(b, tx) AS g FROM {rows} JOIN level{turn} USING (sid))"""
             text += _products(f"swing{turn}_p", f"swing{turn}_rows", "sid", "sx", "n * g * g", "n * g * (y - g)")
             text += _one(f"swing{turn}", f"swing{turn}_p", _SEASON_ONLY)
             text += f""",
 mul{turn} AS MATERIALIZED (SELECT sid, ds, n, y, tx, sx, 1 + list_inner_product(b, sx) AS f FROM {rows} JOIN swing{turn} USING (sid))"""
         results.append(
-            "SELECT sid, gid, param_id, mode, l.b AS a, s.b AS b FROM level2_3 l JOIN swing2 s USING (sid) JOIN settings USING (sid)"
+            "SELECT sid, gid, param_id, mode, l.b AS a, s.b AS b FROM level2 l JOIN swing2 s USING (sid) JOIN settings USING (sid)"
         )
     text += f""",
 coefficients AS MATERIALIZED ({' UNION ALL '.join(results)}),
@@ -176,18 +177,58 @@ def _one(name: str, cells: str, penalty: str) -> str:
   FROM {cells} JOIN settings USING (sid) GROUP BY sid, i)""" + _eliminate(name, "sid")
 
 
-def _penalised(name: str, season: str, cells: str | None = None) -> str:
-    """Three solves; the penalty of a trend change follows its size in the solve before."""
-    text = ""
-    for r in (1, 2, 3):
-        typical = "cps" if r == 1 else "greatest(abs(p.b[i]), 1e-4)"
-        prior = "" if r == 1 else f"JOIN {name}{r - 1} p USING (sid)"
-        text += f""",
-{name}{r}_m AS MATERIALIZED (
-  SELECT sid, i, list(v + CASE WHEN i = j THEN (CASE WHEN i <= 2 THEN 0.0 WHEN i <= q THEN variance / (cps * {typical})
-      ELSE {season} END) + jitter ELSE 0.0 END ORDER BY j) AS line
-  FROM {cells or name + '_cells'} JOIN settings USING (sid) {prior} GROUP BY sid, i)""" + _eliminate(f"{name}{r}", "sid")
-    return text
+def _moved(x: str) -> str:
+    """Places with the trend changes after all others; the moments stay last."""
+    return f"CASE WHEN {x} <= 2 OR {x} > size THEN {x} WHEN {x} > q THEN {x} - q + 2 ELSE size - q + {x} END"
+
+
+def _penalised(name: str, season: str) -> str:
+    """The exact solution for the cells ``{name}_cells`` and the settings' penalties.
+
+    Elimination stops when only the trend changes are left: their lines are a lasso, the others say how
+    the rest follows from them. ``{name}_path`` holds a table, signs and the penalty reached; each step finds the next event, the
+    largest penalty below at which a change enters (its line is the correlation) or leaves (its line is the value), and
+    pivots on it.
+    """
+    return f""",
+{name}_m AS MATERIALIZED (
+  SELECT sid, row_at AS i, any_value(size) - any_value(q) + 2 AS f, list(v ORDER BY column_at) AS line FROM (
+    SELECT sid, size, q, {_moved('i')} AS row_at, {_moved('j')} AS column_at,
+      v + CASE WHEN i = j THEN (CASE WHEN i <= q THEN 0.0 ELSE {season} END) + jitter ELSE 0.0 END AS v
+    FROM {name}_cells JOIN settings USING (sid)) GROUP BY sid, row_at),
+{name}_steps AS (
+  SELECT sid, i, f, 1 AS k, line FROM {name}_m
+  UNION ALL
+  SELECT s.sid, s.i, s.f, s.k + 1, CASE WHEN s.i = s.k THEN p
+      ELSE list_transform(s.line[2:], lambda v, j: v - s.line[1] * p[j]) END
+  FROM {name}_steps s JOIN (SELECT sid, list_transform(line[2:], lambda v: v / line[1]) AS p FROM {name}_steps WHERE i = k) u
+    ON u.sid = s.sid WHERE s.k <= s.f),
+{name}_left AS MATERIALIZED (SELECT sid, i, f, line FROM {name}_steps WHERE k = f + 1),
+{name}_path AS (
+  SELECT sid, any_value(variance) / any_value(cps) AS lam, list(line ORDER BY i) AS m, list(CAST(0 AS DOUBLE)) AS s,
+    CAST(1e300 AS DOUBLE) AS here, CAST(0 AS BIGINT) AS last, CAST(0 AS DOUBLE) AS side, CAST(NULL AS DOUBLE[]) AS d
+  FROM {name}_left JOIN settings USING (sid) WHERE i > f GROUP BY sid
+  UNION ALL
+  SELECT sid, lam, CASE WHEN stop THEN m ELSE list_transform(m, lambda r, i: CASE
+        WHEN i = j THEN list_transform(r, lambda v, c: CASE WHEN c = j THEN 1 ELSE v END / m[j][j])
+        ELSE list_transform(r, lambda v, c: CASE WHEN c = j THEN -v / m[j][j] ELSE v - r[j] * (m[j][c] / m[j][j]) END) END) END,
+    list_transform(s, lambda v, k: CASE WHEN k <> j THEN v WHEN v <> 0 THEN 0 WHEN a[j] > there * b[j] THEN 1 ELSE -1 END),
+    there, j, s[j], CASE WHEN stop THEN list_transform(s, lambda v, k: CASE WHEN v <> 0 THEN a[k] - lam * b[k] ELSE 0 END) END
+  FROM (SELECT *, coalesce(lam > there, true) AS stop, list_position(events, best) AS j FROM (
+    SELECT *, list_max(events) AS best, least(list_max(events), here) AS there FROM (
+      SELECT *, list_transform(s, lambda v, k: list_max(list_filter([
+          CASE WHEN k = last AND side >= 0 THEN NULL WHEN v <> 0 THEN a[k] / nullif(b[k], 0) ELSE a[k] / nullif(1 + b[k], 0) END,
+          CASE WHEN v <> 0 OR k = last AND side < 0 THEN NULL ELSE a[k] / nullif(b[k] - 1, 0) END],
+        lambda e: e > 0 AND e <= here * (1 + CAST(1e-9 AS DOUBLE))))) AS events FROM (
+        SELECT *, list_transform(m, lambda r: r[len(r)]) AS a, list_transform(m, lambda r: list_inner_product(r[1:len(r) - 1], s)) AS b
+        FROM {name}_path WHERE d IS NULL))))),
+{name}_changes AS MATERIALIZED (SELECT sid, d FROM {name}_path WHERE d IS NOT NULL),
+{name} AS MATERIALIZED (
+  SELECT sid, list(v ORDER BY place) AS b FROM (
+    SELECT sid, CASE WHEN i <= 2 THEN i ELSE i + len(line) - 1 END AS place,
+      line[len(line)] - coalesce(list_inner_product(line[1:len(line) - 1], d), 0) AS v
+    FROM {name}_left LEFT JOIN {name}_changes USING (sid) WHERE i <= f
+    UNION ALL SELECT sid, 2 + unnest(range(1, len(d) + 1)), unnest(d) FROM {name}_changes) GROUP BY sid)"""
 
 
 WHOLE_GROUPS = f"""SELECT segment AS gid, segment, cutoff, country FROM (SELECT segment, max(ds) AS cutoff FROM observed GROUP BY 1)
