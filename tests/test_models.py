@@ -13,6 +13,7 @@ from tidecast.functions import holidays
 from tidecast.operators import backtest, features, forecast, regression, scoring, spectral
 from tidecast.plans import forecasting, modelling
 from tidecast.plans import scoring as plans_scoring
+from tidecast.session import settle
 from tidecast.sources import registry
 
 D = dt.date
@@ -152,7 +153,7 @@ def settings(spark, rows):
 def whole_rows(days, country="US", years=(1999, 2004)):
     cutoffs = modelling.whole_history(days)
     seasonal = features.with_season(days, F.lit(country), years)
-    return backtest.model_rows(seasonal, cutoffs, 0), forecast.trend_inputs(days, cutoffs), seasonal
+    return forecast.trend_inputs(days, cutoffs), seasonal
 
 
 def brute_force(train, cps, sps, multiplicative):
@@ -170,12 +171,25 @@ def brute_force(train, cps, sps, multiplicative):
         return np.linalg.solve(lhs, x.T @ target)
 
     def sparse(x, target, penalty):
-        typical = np.full(q - 2, cps)
-        for _ in range(3):
-            penalty[2:q] = variance / (cps * typical)
-            b = ridge(x, target, penalty)
-            typical = np.maximum(np.abs(b[2:q]), 1e-4)
-        return b
+        """Lasso by coordinate descent, until the active set it finds has an exact solution that is optimal."""
+        lhs, rhs = x.T @ x, x.T @ target
+        lhs = lhs + np.diag(penalty + 1e-10 * np.diag(lhs).mean())
+        inner, outer = np.arange(2, q), np.r_[0:2, q : len(rhs)]
+        tied = np.linalg.solve(lhs[np.ix_(outer, outer)], np.c_[lhs[np.ix_(outer, inner)], rhs[outer]])
+        s = lhs[np.ix_(inner, inner)] - lhs[np.ix_(inner, outer)] @ tied[:, :-1]
+        r, lam, b = rhs[inner] - lhs[np.ix_(inner, outer)] @ tied[:, -1], variance / cps, np.zeros(q - 2)
+        for sweep in range(1, 100_000):
+            for j in range(q - 2):
+                rho = r[j] - s[j] @ b + s[j, j] * b[j]
+                b[j] = np.sign(rho) * max(abs(rho) - lam, 0) / s[j, j]
+            if sweep % 50 == 0:
+                on, exact = np.flatnonzero(b), np.zeros(q - 2)
+                exact[on] = np.linalg.solve(s[np.ix_(on, on)], r[on] - lam * np.sign(b[on]))
+                if np.all(exact * b >= 0) and np.all(np.abs(r - s @ exact) <= lam * (1 + 1e-9)):
+                    break
+        out = np.empty(len(rhs))
+        out[inner], out[outer] = exact, tied[:, -1] - tied[:, :-1] @ exact
+        return out
 
     both = np.hstack([trend, season])
     free = both[:, :2]
@@ -193,15 +207,46 @@ def brute_force(train, cps, sps, multiplicative):
     return level * factor * scale
 
 
+def test_running_sums_give_the_normal_equations():
+    """Every cutoff's products and moments against those of its rows, days missing and several observations a day."""
+    rng = np.random.default_rng(5)
+    day = np.sort(rng.choice(900, 400, replace=False))
+    frame = pd.DataFrame({
+        "ds": [D(2000, 1, 1) + dt.timedelta(days=int(d)) for d in day], "ys": [rng.normal(size=rng.integers(1, 4)) for _ in day],
+        "season": list(rng.normal(size=(400, 7))),
+    })
+    history = forecast.History(frame.sample(frac=1, random_state=1))
+    for end in (2, 150, 399, 400, 80):
+        length = max(history.elapsed[end - 1], 1.0)
+        points = np.unique(history.elapsed[rng.integers(0, end, 9)])
+        x = np.hstack([history.trend(0, end, length, points), history.season[:end]])
+        products, moments = history.normal_equations(end, length, points)
+        assert np.allclose(products, x.T @ (history.n[:end, None] * x), rtol=1e-9, atol=1e-9)
+        assert np.allclose(moments, x.T @ history.total[:end], rtol=1e-9, atol=1e-9)
+
+
+def test_history_is_shuffled_once_for_all_cutoffs(spark):
+    """One exchange of the days, without trend regressors, however many cutoffs there are."""
+    days = make_days(spark, wavy(420, noise=1.0))
+    seasonal = features.with_season(days, F.lit("US"), (1999, 2004))
+    chosen = settings(spark, [("s", 0, 0.05, 10.0, "additive")])
+    for cutoffs in (backtest.ladder_cutoffs(days).where("step = 1"), backtest.ladder_cutoffs(days)):
+        inputs = settle(forecast.trend_inputs(days, cutoffs))
+        plan = forecast.score(seasonal, inputs, chosen, 90, 4)._jdf.queryExecution().executedPlan().toString()
+        season = [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION" in line]
+        assert len(season) == 2 and "trend" not in plan
+        assert plan.count("FlatMapCoGroupsIn") == 1
+
+
 @pytest.mark.parametrize("mode", ["additive", "multiplicative"])
 @pytest.mark.parametrize("n", [90, 500])
 def test_fit_matches_a_row_by_row_solution(spark, mode, n):
     rng = np.random.default_rng(n)
     values = [list(v + rng.normal(size=rng.integers(1, 4))) for v in wavy(n, noise=1.0)]
     days = make_days(spark, values)
-    rows, inputs, seasonal = whole_rows(days)
+    inputs, seasonal = whole_rows(days)
     pairs = [(0, 0.05, 10.0), (1, 0.5, 0.1)]
-    fits = forecast.fit(rows, settings(spark, [("s", i, c, s, mode) for i, c, s in pairs]))
+    fits = forecast.fit(seasonal, inputs, settings(spark, [("s", i, c, s, mode) for i, c, s in pairs]))
     ready = forecast.with_trend(seasonal.join(modelling.whole_history(days), "segment"), inputs)
     found = forecast.components(ready, fits).toPandas()
     train = ready.orderBy("ds").toPandas()
@@ -216,9 +261,9 @@ def test_fit_matches_a_row_by_row_solution(spark, mode, n):
 
 def test_components_add_up(spark):
     days = make_days(spark, wavy(400, noise=1.0))
-    rows, inputs, seasonal = whole_rows(days)
+    inputs, seasonal = whole_rows(days)
     for mode in ("additive", "multiplicative"):
-        fits = forecast.fit(rows, settings(spark, [("s", 0, 0.05, 10.0, mode)]))
+        fits = forecast.fit(seasonal, inputs, settings(spark, [("s", 0, 0.05, 10.0, mode)]))
         ready = forecast.with_trend(seasonal.join(modelling.whole_history(days), "segment"), inputs)
         p = forecast.components(ready, fits).toPandas()
         swing = p.weekly + p.yearly + p.holidays
@@ -229,8 +274,8 @@ def test_components_add_up(spark):
 def test_noiseless_trend_and_week_are_recovered(spark):
     n = 730
     days = make_days(spark, wavy(n))
-    rows, inputs, _ = whole_rows(days)
-    fits = forecast.fit(rows, settings(spark, [("s", 0, 0.05, 10.0, "additive")]))
+    inputs, seasonal = whole_rows(days)
+    fits = forecast.fit(seasonal, inputs, settings(spark, [("s", 0, 0.05, 10.0, "additive")]))
     frame = features.future_frame(days).join(modelling.whole_history(days), "segment")
     ready = forecast.with_trend(features.with_season(frame, F.lit("US"), (1999, 2004)), inputs)
     got = forecast.components(ready, fits).orderBy("ds").toPandas()
@@ -320,19 +365,19 @@ def test_search_scores_match_separate_forecasts(spark):
     rng = np.random.default_rng(3)
     days = make_days(spark, [list(v + rng.normal(size=2)) for v in wavy(420, noise=1.0)])
     seasonal = features.with_season(days, F.lit("US"), (1999, 2004))
-    rows = backtest.model_rows(seasonal, backtest.ladder_cutoffs(days), 90)
+    inputs = forecast.trend_inputs(days, backtest.ladder_cutoffs(days))
     chosen = settings(
         spark,
         [("s", 0, 0.05, 10.0, "additive"), ("s", 1, 0.5, 0.5, "additive"), ("s", 2, 0.05, 10.0, "multiplicative"), ("s", 3, 0.9, 2.0, "multiplicative")],
     )
-    scores = backtest.tuning_scores(rows, chosen, 2).toPandas().set_index("param_id")
-    test = forecast.components(rows.filter(~F.col("is_train")), forecast.fit(rows, chosen))
+    scores = backtest.tuning_scores(seasonal, inputs, chosen, 90, 2).toPandas().set_index("param_id")
+    test = forecast.components(backtest.horizon_rows(seasonal, inputs, 90), forecast.fit(seasonal, inputs, chosen, 3))
     flat = test.select("param_id", F.explode("ys").alias("y"), "yhat").toPandas()
     flat["ape"] = ((flat.y - flat.yhat) / flat.y).abs()
     flat["se"] = (flat.y - flat.yhat) ** 2
     want = flat.groupby("param_id")[["ape", "se"]].mean()
     assert np.allclose(scores.mape.sort_index(), want.ape) and np.allclose(scores.rmse.sort_index(), np.sqrt(want.se))
-    best = backtest.best_setting(backtest.tuning_scores(rows, chosen, 1), "mape").first()
+    best = backtest.best_setting(backtest.tuning_scores(seasonal, inputs, chosen, 90, 1), "mape").first()
     assert best.param_id == want.ape.idxmin()
 
 

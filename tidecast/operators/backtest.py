@@ -299,20 +299,19 @@ def sampled_settings(segments: DataFrame, seed: int = 0) -> DataFrame:
     return drawn.filter(F.col("draw") <= setting_of("trials")).drop("draw")
 
 
-def without_holidays(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("season", F.slice("season", 1, N_WEEKLY + N_YEARLY))
+def without_holidays(days: DataFrame) -> DataFrame:
+    return days.withColumn("season", F.slice("season", 1, N_WEEKLY + N_YEARLY))
 
 
-def model_rows(days: DataFrame, cutoffs: DataFrame, horizon: int, inputs: DataFrame | None = None) -> DataFrame:
-    """Window rows with all regressors. ``days`` carries its ``season`` already."""
-    if inputs is None:
-        inputs = forecast.trend_inputs(days.drop("season", "country"), cutoffs)
-    return forecast.with_trend(windows(days, cutoffs, horizon), inputs)
+def horizon_rows(days: DataFrame, inputs: DataFrame, horizon: int) -> DataFrame:
+    """The days of the horizon after every cutoff with all regressors. ``days`` carries its ``season`` already."""
+    rows = windows(days, inputs, horizon).filter(~F.col("is_train"))
+    return forecast.with_trend(rows, inputs)
 
 
-def tuning_scores(rows: DataFrame, settings: DataFrame, batches: int) -> DataFrame:
+def tuning_scores(days: DataFrame, inputs: DataFrame, settings: DataFrame, horizon: int, batches: int) -> DataFrame:
     """MAPE and RMSE of every setting over all cutoffs."""
-    sums = forecast.score(rows, settings, batches).groupBy("segment", "param_id").agg(
+    sums = forecast.score(days, inputs, settings, horizon, batches).groupBy("segment", "param_id").agg(
         F.sum("sum_ape").alias("sum_ape"), F.sum("n_ape").alias("n_ape"), F.sum("sum_se").alias("sum_se"), F.sum("n").alias("n")
     )
     return sums.join(settings, ["segment", "param_id"]).select(

@@ -2,9 +2,9 @@
 
 The model of Taylor and Letham, "Forecasting at Scale" (2018), solved by penalised least squares: a lasso over the trend
 changes, whose exact solution is found on its path.
-Spark builds every regressor, groups the daily rows by segment and cutoff and evaluates the result;
-the code inside a group only solves small normal equations, for all settings of the group at once.
-A group holds one row per date, so the calendar bounds it whatever the ticket volume.
+Spark builds the seasonal regressors, groups the daily rows by segment and evaluates the result. A segment's days meet
+all its cutoffs in one group: the normal equations of every cutoff come from running sums by date, those of a trend
+change from differences of two of them. A group holds one row per date, so the calendar bounds it whatever the ticket volume.
 """
 
 from __future__ import annotations
@@ -95,16 +95,19 @@ def _noise_variance(products: np.ndarray, moments: np.ndarray, squares: float, r
     return max(left / max(rows - 2, 1.0), SMALLEST_VARIANCE)
 
 
-def fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps):
+def fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps, sums=None):
     """Trend and season coefficients for every pair (cps, sps) under one mode.
 
     One row per date: ``n`` observations with the given ``mean``, in units of the largest one;
-    ``squares`` is the sum of all squared observations. Returns two arrays with a row per setting.
+    ``squares`` is the sum of all squared observations, ``sums`` the normal equations if they are known.
+    Returns two arrays with a row per setting.
     """
     q, p = trend.shape[1], season.shape[1]
     deltas = slice(2, q)
-    both = np.hstack([trend, season])
-    products, moments = both.T @ (n[:, None] * both), both.T @ (n * mean)
+    if sums is None:
+        both = np.hstack([trend, season])
+        sums = both.T @ (n[:, None] * both), both.T @ (n * mean)
+    products, moments = sums
     variance = _noise_variance(products, moments, squares, n.sum())
 
     def season_penalty(scales: np.ndarray) -> np.ndarray:
@@ -138,27 +141,91 @@ def values_at(trend, season, a, b, multiplicative):
     return level * (1.0 + swing) if multiplicative else level + swing
 
 
-def _matrices(rows: pd.DataFrame):
-    return np.stack(rows["trend"].to_numpy()), np.stack(rows["season"].to_numpy())
-
-
-def _fit_by_mode(days: pd.DataFrame, settings: pd.DataFrame):
-    """Fits the training rows of one group; yields settings, mode, coefficients, scale and spread."""
-    train = days[days["is_train"]].sort_values("ds")
-    trend, season = _matrices(train)
-    n = train["ys"].map(len).to_numpy(float)
-    values = np.concatenate(train["ys"].to_numpy())
-    scale = max(np.abs(values).max(), 1e-12)
-    mean = train["ys"].map(np.mean).to_numpy(float) / scale
-    squares = float(np.square(values / scale).sum())
-    for mode, chosen in settings.sort_values("param_id").groupby("mode"):
-        multiplicative = mode == "multiplicative"
-        cps, sps = chosen["cps"].to_numpy(float), chosen["sps"].to_numpy(float)
-        a, b = fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps)
-        fitted = values_at(trend, season, a, b, multiplicative)
-        spread = (squares - 2 * fitted @ (n * mean) + (fitted**2) @ n) / n.sum()
-        spread = np.maximum(spread, SMALLEST_VARIANCE)
-        yield chosen, multiplicative, a, b, scale, np.sqrt(spread) * scale
+def _from_zero(values: np.ndarray) -> np.ndarray:
+    """Running sums by row, from the empty one on."""
+    return np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)])
+
+
+class History:
+    """A segment's days in order, with running sums by date of all that normal equations are made of."""
+
+    def __init__(self, days: pd.DataFrame):
+        days = days.sort_values("ds")
+        self.day = days["ds"].to_numpy("datetime64[D]")
+        self.elapsed = (self.day - self.day[0]).astype(float)
+        self.season = np.stack(days["season"].to_numpy())
+        self.ys = days["ys"].to_numpy()
+        self.n = days["ys"].map(len).to_numpy(float)
+        self.total = days["ys"].map(np.sum).to_numpy(float)
+        self.squares = _from_zero(days["ys"].map(lambda ys: np.square(ys).sum()).to_numpy(float))
+        self.largest = np.maximum.accumulate(days["ys"].map(lambda ys: np.abs(ys).max()).to_numpy(float))
+        base = np.column_stack([np.ones(len(days)), self.elapsed, self.season])
+        self.sums = _from_zero(self.n[:, None] * base)
+        self.times = _from_zero((self.n * self.elapsed)[:, None] * base)
+        self.values = _from_zero(self.total[:, None] * base)
+        self.products = {0: np.zeros((self.season.shape[1],) * 2)}
+
+    def rows_upto(self, date) -> int:
+        return int(np.searchsorted(self.day, np.datetime64(date, "D"), side="right"))
+
+    def season_products(self, end: int) -> np.ndarray:
+        """Sums of products of the season up to a row, from those of the last row asked for before it."""
+        if end not in self.products:
+            known = max(k for k in self.products if k < end)
+            part = self.season[known:end]
+            self.products[end] = self.products[known] + part.T @ (self.n[known:end, None] * part)
+        return self.products[end]
+
+    def trend(self, first: int, end: int, length: float, points: np.ndarray) -> np.ndarray:
+        """Constant, elapsed share, one hinge per point, for some of the rows."""
+        u = self.elapsed[first:end, None]
+        return np.hstack([np.ones_like(u), u / length, np.maximum(u - points, 0.0) / length])
+
+    def normal_equations(self, end: int, length: float, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Products of trend and season over the first ``end`` rows, and their moments with the observations."""
+        k, q = points.size, 2 + points.size
+        after = np.searchsorted(self.elapsed, points, side="right")
+        sums, times, values = (x[end] - x[after] for x in (self.sums, self.times, self.values))
+        hinge = (times - points[:, None] * sums) / length
+        late = np.maximum.outer(np.arange(k), np.arange(k))
+        both = points[:, None] + points
+        cross = (times[late, 1] - both * sums[late, 1] + np.outer(points, points) * sums[late, 0]) / length**2
+        size = q + self.season.shape[1]
+        a, m = np.empty((size, size)), np.empty(size)
+        a[0, :2], a[0, q:] = self.sums[end, :2], self.sums[end, 2:]
+        a[1, 1], a[1, q:] = self.times[end, 1] / length, self.times[end, 2:]
+        a[2:q, 0], a[2:q, 1], a[2:q, q:], a[2:q, 2:q] = hinge[:, 0], hinge[:, 1], hinge[:, 2:], cross
+        a[0, 2:q], a[1, 2:q], a[q:, 2:q], a[1, 0] = hinge[:, 0], hinge[:, 1], hinge[:, 2:].T, a[0, 1]
+        a[q:, 0], a[q:, 1], a[q:, q:] = a[0, q:], a[1, q:], self.season_products(end)
+        a[1] /= length
+        a[2:, 1], a[0, 1] = a[2:, 1] / length, a[0, 1] / length
+        m[:2], m[2:q], m[q:] = self.values[end, :2], (values[:, 1] - points * values[:, 0]) / length, self.values[end, 2:]
+        m[1] /= length
+        return a, m
+
+
+def _windows(key, days: pd.DataFrame, windows: pd.DataFrame):
+    """Fits every window of one group of a segment's history; yields cutoff, rows up to it, elapsed days, points, settings
+    of a mode, mode, coefficients, scale and spread."""
+    if days.empty or windows.empty:
+        return
+    history = History(days)
+    for cutoff, asked in windows.sort_values(["cutoff", "param_id"]).groupby("cutoff"):
+        end = history.rows_upto(cutoff)
+        length = max(history.elapsed[end - 1], 1.0)
+        points = (np.array(list(asked["points"].iloc[0]), "datetime64[D]") - history.day[0]).astype(float)
+        scale = max(history.largest[end - 1], 1e-12)
+        products, moments = history.normal_equations(end, length, points)
+        trend, season, n = history.trend(0, end, length, points), history.season[:end], history.n[:end]
+        mean, squares = history.total[:end] / n / scale, history.squares[end] / scale**2
+        for mode, chosen in asked.groupby("mode"):
+            multiplicative = mode == "multiplicative"
+            cps, sps = chosen["cps"].to_numpy(float), chosen["sps"].to_numpy(float)
+            a, b = fit_settings(trend, season, n, mean, squares, multiplicative, cps, sps, (products, moments / scale))
+            fitted = values_at(trend, season, a, b, multiplicative)
+            spread = (squares - 2 * fitted @ (n * mean) + (fitted**2) @ n) / n.sum()
+            spread = np.maximum(spread, SMALLEST_VARIANCE)
+            yield history, cutoff, end, length, points, chosen, multiplicative, a, b, scale, np.sqrt(spread) * scale
 
 
 FITS = (
@@ -168,43 +235,45 @@ FITS = (
 SCORES = "segment string, cutoff date, param_id int, n bigint, sum_ape double, n_ape bigint, sum_se double"
 
 
-def _fit_group(key, days: pd.DataFrame, settings: pd.DataFrame) -> pd.DataFrame:
+def _fit_group(key, days: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
     parts = []
-    if not days.empty and not settings.empty:
-        for chosen, multiplicative, a, b, scale, sigma in _fit_by_mode(days, settings):
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "segment": key[0],
-                        "cutoff": key[1],
-                        "param_id": chosen["param_id"].to_numpy(),
-                        "mode": chosen["mode"].to_numpy(),
-                        "sigma": sigma,
-                        "trend_beta": list(a * scale),
-                        "season_beta": list(b if multiplicative else b * scale),
-                        "deltas": list(a[:, 2:]),
-                    }
-                )
+    for _, cutoff, _, _, _, chosen, multiplicative, a, b, scale, sigma in _windows(key, days, windows):
+        parts.append(
+            pd.DataFrame(
+                {
+                    "segment": key[0],
+                    "cutoff": cutoff,
+                    "param_id": chosen["param_id"].to_numpy(),
+                    "mode": chosen["mode"].to_numpy(),
+                    "sigma": sigma,
+                    "trend_beta": list(a * scale),
+                    "season_beta": list(b if multiplicative else b * scale),
+                    "deltas": list(a[:, 2:]),
+                }
             )
+        )
     return pd.concat(parts) if parts else _empty(FITS)
 
 
-def _score_group(key, days: pd.DataFrame, settings: pd.DataFrame) -> pd.DataFrame:
-    """Error sums of every setting over the group's test rows, ready to be added up over cutoffs."""
-    parts = []
-    test = days[~days["is_train"]].sort_values("ds")
-    if not test.empty and not settings.empty:
-        trend, season = _matrices(test)
-        actual = np.concatenate(test["ys"].to_numpy())
-        day_of = np.repeat(np.arange(len(test)), test["ys"].map(len))
-        for chosen, multiplicative, a, b, scale, _ in _fit_by_mode(days, settings):
+def _score_group(horizon: int):
+    """Error sums of every setting over each window's test rows, ready to be added up over cutoffs."""
+
+    def score_group(key, days: pd.DataFrame, windows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for history, cutoff, end, length, points, chosen, multiplicative, a, b, scale, _ in _windows(key, days, windows):
+            last = history.rows_upto(cutoff + pd.Timedelta(days=horizon))
+            if last == end:
+                continue
+            trend, season = history.trend(end, last, length, points), history.season[end:last]
+            actual = np.concatenate(history.ys[end:last])
+            day_of = np.repeat(np.arange(last - end), history.n[end:last].astype(int))
             miss = actual - values_at(trend, season, a, b, multiplicative)[:, day_of] * scale
             known = actual != 0
             parts.append(
                 pd.DataFrame(
                     {
                         "segment": key[0],
-                        "cutoff": key[1],
+                        "cutoff": cutoff,
                         "param_id": chosen["param_id"].to_numpy(),
                         "n": len(actual),
                         "sum_ape": np.abs(miss[:, known] / actual[known]).sum(axis=1),
@@ -213,49 +282,49 @@ def _score_group(key, days: pd.DataFrame, settings: pd.DataFrame) -> pd.DataFram
                     }
                 )
             )
-    return pd.concat(parts) if parts else _empty(SCORES)
+        return pd.concat(parts) if parts else _empty(SCORES)
+
+    return score_group
 
 
 def _empty(schema: str) -> pd.DataFrame:
     return pd.DataFrame({field.split()[0]: pd.Series([], dtype=object) for field in schema.split(", ")})
 
 
-def _by_group(rows: DataFrame, settings: DataFrame, batches: int, work, schema: str, inputs: DataFrame | None) -> DataFrame:
-    """Runs ``work`` once per segment, cutoff and batch of settings.
-
-    ``inputs``, a row per segment and cutoff, spares planning all of ``rows`` again for its keys.
+def _by_group(days: DataFrame, inputs: DataFrame, settings: DataFrame, batches: int, work, schema: str) -> DataFrame:
+    """Runs ``work`` once per segment and batch, with all days of the segment and the batch's windows and settings.
 
-    The work is heavy and its input small, so the number of tasks follows the cores of the cluster
-    and not the bytes: an explicit partition count is not coalesced by adaptive execution.
+    The history is shuffled once per batch, without regressors of the trend, whatever the number of cutoffs. A batch holds
+    whole pairs of cutoff and season scale, whose settings share a path. The work is heavy and its input small, so the
+    number of tasks follows the cores of the cluster and not the bytes: an explicit partition count is not coalesced
+    by adaptive execution.
     """
-    keys = [*WINDOW, "batch"]
-    tasks = rows.sparkSession.sparkContext.defaultParallelism * 2
+    tasks = days.sparkSession.sparkContext.defaultParallelism * 2
     numbers = F.sequence(F.lit(0), F.lit(batches - 1))
-    days = rows.select(*WINDOW, "ds", "ys", "is_train", "trend", "season", F.explode(numbers).alias("batch"))
+    history = days.select("segment", "ds", "ys", "season", F.explode(numbers).alias("batch"))
     # The second side comes from the first: new key names keep the two apart.
-    other = [f"its_{k}" for k in keys]
-    named = [F.col(k).alias(f"its_{k}") for k in WINDOW]
-    groups = rows.select(*named).distinct() if inputs is None else inputs.select(*named)
-    chosen = groups.join(settings, F.col("its_segment") == F.col("segment")).withColumn(
-        "its_batch", F.pmod(F.col("param_id"), F.lit(batches))
+    windows = inputs.select(F.col("segment").alias("its_segment"), "cutoff", "points")
+    asked = windows.join(settings, F.col("its_segment") == F.col("segment")).withColumn(
+        "its_batch", F.pmod(F.xxhash64("cutoff", "sps"), F.lit(batches)).cast("int")
     )
-    left = days.repartition(tasks, *keys).groupBy(*keys)
-    right = chosen.select(*other, "param_id", "cps", "sps", "mode").repartition(tasks, *other).groupBy(*other)
+    left = history.repartition(tasks, "segment", "batch").groupBy("segment", "batch")
+    right = asked.select("its_segment", "its_batch", "cutoff", "points", "param_id", "cps", "sps", "mode").repartition(
+        tasks, "its_segment", "its_batch").groupBy("its_segment", "its_batch")
     return left.cogroup(right).applyInPandas(work, schema)
 
 
-def fit(rows: DataFrame, settings: DataFrame, batches: int = 1, inputs: DataFrame | None = None) -> DataFrame:
+def fit(days: DataFrame, inputs: DataFrame, settings: DataFrame, batches: int = 1) -> DataFrame:
     """Coefficients per segment, cutoff and setting.
 
-    ``rows``: ``segment, cutoff, ds, ys, is_train, trend, season``; ``settings``: ``segment,
-    param_id, cps, sps, mode``.
+    ``days``: ``segment, ds, ys, season``; ``inputs``: the windows as ``trend_inputs`` gives them; ``settings``: ``segment,
+    param_id, cps, sps, mode``. A window is fitted to all days up to its cutoff.
     """
-    return _by_group(rows, settings, batches, _fit_group, FITS, inputs)
+    return _by_group(days, inputs, settings, batches, _fit_group, FITS)
 
 
-def score(rows: DataFrame, settings: DataFrame, batches: int = 1, inputs: DataFrame | None = None) -> DataFrame:
-    """Test errors per segment, cutoff and setting; predictions never leave the task."""
-    return _by_group(rows, settings, batches, _score_group, SCORES, inputs)
+def score(days: DataFrame, inputs: DataFrame, settings: DataFrame, horizon: int, batches: int = 1) -> DataFrame:
+    """Errors over the ``horizon`` days after each cutoff per segment, cutoff and setting; predictions never leave the task."""
+    return _by_group(days, inputs, settings, batches, _score_group(horizon), SCORES)
 
 
 def components(rows: DataFrame, fits: DataFrame) -> DataFrame:

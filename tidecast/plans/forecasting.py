@@ -39,8 +39,7 @@ def _whole_fit(spark: SparkSession, days: DataFrame) -> tuple[DataFrame, DataFra
     """Trend inputs and the fit of every segment on its whole history with its own setting."""
     cutoffs = whole_history(days)
     inputs = settle(forecast.trend_inputs(days, cutoffs))
-    rows = backtest.model_rows(_seasonal(days), cutoffs, 0, inputs)
-    return inputs, forecast.fit(rows, backtest.tuned_settings(spark), inputs=inputs)
+    return inputs, forecast.fit(_seasonal(days), inputs, backtest.tuned_settings(spark))
 
 
 def whole_forecast(spark: SparkSession, days: DataFrame) -> DataFrame:
@@ -106,22 +105,26 @@ def cv_windows_fixed(spark: SparkSession, folder: str) -> DataFrame:
     return backtest.window_summary(backtest.windows(days, cutoffs), full_history=days)
 
 
-def _windows(days: DataFrame, cutoffs: DataFrame, horizon: int, calendar: str = "country") -> DataFrame:
-    """Back-test rows with regressors.
+def _windows(days: DataFrame, cutoffs: DataFrame, calendar: str = "country") -> tuple[DataFrame, DataFrame]:
+    """Days with their season, and the windows' trend inputs.
 
-    Cutoffs and trend inputs, a few values per window, are settled; the rows are not, as their regressors are
+    Cutoffs and trend inputs, a few values per window, are settled; the days are not, as their regressors are
     cheap to form again and many times larger than what they are formed from.
     """
-    cutoffs = settle(cutoffs)
-    inputs = settle(forecast.trend_inputs(days, cutoffs))
-    return backtest.model_rows(_seasonal(days, calendar), cutoffs, horizon, inputs)
+    inputs = settle(forecast.trend_inputs(days, settle(cutoffs)))
+    return _seasonal(days, calendar), inputs
+
+
+def _batches(spark: SparkSession, segments: list[str]) -> int:
+    """As many batches of windows per segment as give every core of the cluster two groups."""
+    return max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, len(segments))))
 
 
 def _cv_model(spark: SparkSession, days: DataFrame, cutoffs: DataFrame, horizon: int) -> DataFrame:
     """Out-of-sample forecasts of the tuned model with its band, one row per observation."""
-    rows = _windows(days, cutoffs, horizon)
-    fits = forecast.fit(rows, backtest.tuned_settings(spark))
-    test = forecast.components(rows.filter(~F.col("is_train")), fits)
+    seasonal, inputs = _windows(days, cutoffs)
+    fits = forecast.fit(seasonal, inputs, backtest.tuned_settings(spark), _batches(spark, CV_SEGMENTS))
+    test = forecast.components(backtest.horizon_rows(seasonal, inputs, horizon), fits)
     return test.select("segment", "cutoff", "ds", F.explode("ys").alias("y"), "yhat", "yhat_lower", "yhat_upper")
 
 
@@ -210,9 +213,13 @@ def search_space(spark: SparkSession, folder: str) -> DataFrame:
 def _grid_scores(spark: SparkSession, folder: str) -> DataFrame:
     days = _only(settled_days(spark, folder), GRID_SEGMENTS)
     cutoffs = backtest.generated_cutoffs(days, backtest.GRID_INITIAL)
-    rows = backtest.without_holidays(_windows(days, cutoffs, backtest.HORIZON))
+    return _grid_of(days, cutoffs, backtest.HORIZON, _batches(spark, GRID_SEGMENTS))
+
+
+def _grid_of(days: DataFrame, cutoffs: DataFrame, horizon: int, batches: int) -> DataFrame:
+    seasonal, inputs = _windows(days, cutoffs)
     settings = backtest.grid_settings(days.select("segment").distinct())
-    return backtest.tuning_scores(rows, settings, 1)
+    return backtest.tuning_scores(backtest.without_holidays(seasonal), inputs, settings, horizon, batches)
 
 
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,9 +231,7 @@ def grid_search_rmse(spark: SparkSession, folder: str) -> DataFrame:
     """The same grid scored by RMSE on the fixed cutoffs, thirty days ahead."""
     days = _only(settled_days(spark, folder), SHORT_SEGMENTS)
     cutoffs = backtest.fixed_cutoffs(days, STAR_DATES.cutoffs)
-    rows = backtest.without_holidays(_windows(days, cutoffs, backtest.SHORT_HORIZON))
-    settings = backtest.grid_settings(days.select("segment").distinct())
-    scores = backtest.tuning_scores(rows, settings, 1)
+    scores = _grid_of(days, cutoffs, backtest.SHORT_HORIZON, _batches(spark, SHORT_SEGMENTS))
     return scores.select("segment", "param_id", "cps", "sps", _r("rmse"))
 
 
@@ -235,16 +240,10 @@ def best_params(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("segment", "param_id", "cps", "sps", _r("mape"))
 
 
-def _search_batches(spark: SparkSession) -> int:
-    """As many batches of settings per window as give every core of the cluster two groups."""
-    windows = len(TUNED_SEGMENTS) * backtest.LADDER_STEPS
-    return max(1, -(-2 * spark.sparkContext.defaultParallelism // windows))
-
-
-def _ladder_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Days of the tuned segments, and their windows on the six-cutoff ladder with the tuner's calendar."""
+def _ladder_windows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Days of the tuned segments with the season of the tuner's calendar, and their windows on the six-cutoff ladder."""
     days = _only(settled_days(spark, folder), TUNED_SEGMENTS)
-    return days, _windows(days, backtest.ladder_cutoffs(days), backtest.HORIZON, "tuner_country")
+    return _windows(days, backtest.ladder_cutoffs(days), "tuner_country")
 
 
 def search_trials(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,16 +255,17 @@ def search_trials(spark: SparkSession, folder: str) -> DataFrame:
 
 def tuned_objective(spark: SparkSession, folder: str) -> DataFrame:
     """The search's objective for each segment's own setting."""
-    _, rows = _ladder_rows(spark, folder)
-    scores = backtest.tuning_scores(rows, backtest.tuned_settings(spark), 1)
+    days, inputs = _ladder_windows(spark, folder)
+    scores = backtest.tuning_scores(days, inputs, backtest.tuned_settings(spark), backtest.HORIZON, _batches(spark, TUNED_SEGMENTS))
     return scores.select("segment", "mode", _r("mape"), _r("rmse"))
 
 
 def random_search(spark: SparkSession, folder: str) -> DataFrame:
     """Best of each segment's sampled settings by MAPE on the six-cutoff ladder."""
-    days, rows = _ladder_rows(spark, folder)
-    settings = settle(backtest.sampled_settings(days.select("segment").distinct()))
-    best = backtest.best_setting(backtest.tuning_scores(rows, settings, _search_batches(spark)), "mape")
+    days, inputs = _ladder_windows(spark, folder)
+    settings = settle(backtest.sampled_settings(inputs.select("segment").distinct()))
+    scores = backtest.tuning_scores(days, inputs, settings, backtest.HORIZON, _batches(spark, TUNED_SEGMENTS))
+    best = backtest.best_setting(scores, "mape")
     return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))
 
 
