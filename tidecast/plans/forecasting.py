@@ -355,7 +355,7 @@ weights AS (SELECT e.segment, e.horizon, e.w, d.horizon AS day, d.n, least(d.n,
 means AS (SELECT k.segment, k.horizon, sum(weight * se) / any_value(w) AS mse, sum(weight * ae) / any_value(w) AS mae,
             sum(weight * ape) / nullif(sum(weight) FILTER (ape IS NOT NULL), 0) AS mape,
             sum(weight * sape) / nullif(sum(weight) FILTER (sape IS NOT NULL), 0) AS smape,
-            (sum(inside) FILTER (part = n) * max(n) FILTER (part < n) + sum(inside) FILTER (part < n) * max(part) FILTER (part < n))
+            (coalesce(sum(inside) FILTER (part = n), 0) * max(n) FILTER (part < n) + sum(inside) FILTER (part < n) * max(part) FILTER (part < n))
               / (max(n) FILTER (part < n) * any_value(w)) AS part_coverage,
             coalesce(part_coverage, sum(inside) / any_value(w)) AS coverage
           FROM weights k JOIN errors r ON r.segment = k.segment AND r.horizon = k.day GROUP BY ALL),
