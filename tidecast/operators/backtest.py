@@ -286,8 +286,8 @@ def search_settings(segments: DataFrame) -> DataFrame:
     return rows.withColumn("param_id", number).drop("i", "j", "k")
 
 
-def sampled_settings(segments: DataFrame, seed: int = 0) -> DataFrame:
-    """The segment's number of trials, drawn without replacement from the search space.
+def sampled_settings(segments: DataFrame, seed: int = 0, trials: Column | None = None) -> DataFrame:
+    """The segment's number of trials (by default the registry's), drawn without replacement from the search space.
 
     The draw orders the space by the MD5 of seed, segment and number, so it is the same on every run
     and in every engine.
@@ -296,7 +296,7 @@ def sampled_settings(segments: DataFrame, seed: int = 0) -> DataFrame:
     draw = Window.partitionBy("segment").orderBy(lot, "param_id")
     space = search_settings(segments.select("segment"))
     drawn = space.withColumn("draw", F.row_number().over(draw))
-    return drawn.filter(F.col("draw") <= setting_of("trials")).drop("draw")
+    return drawn.filter(F.col("draw") <= (setting_of("trials") if trials is None else trials)).drop("draw")
 
 
 def without_holidays(days: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.numbers import rounded
-from tidecast.operators import backtest, features, forecast, series
+from tidecast.operators import backtest, features, forecast, sampler, series
 from tidecast.plans import model_sql, sql
 from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, settled_days, whole_history
 from tidecast.session import settle
@@ -21,6 +21,8 @@ CV_SEGMENTS = [s.name for s in SEGMENTS if s.cv_initial]
 GRID_SEGMENTS = [s.name for s in SEGMENTS if s.grid]
 SHORT_SEGMENTS = [s.name for s in SEGMENTS if s.cv_30_days]
 TUNED_SEGMENTS = [s.name for s in SEGMENTS if s.trials]
+#: Settings per segment that `search_proposals` asks for.
+PROPOSED = 20
 
 
 def _r(name: str) -> Column:
@@ -269,6 +271,35 @@ def random_search(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))
 
 
+def _guided(spark: SparkSession, folder: str) -> DataFrame:
+    """All trials of the guided search on the six-cutoff ladder."""
+    days, inputs = _ladder_windows(spark, folder)
+
+    def score(settings: DataFrame) -> DataFrame:
+        return backtest.tuning_scores(days, inputs, settings, backtest.HORIZON, _batches(spark, TUNED_SEGMENTS))
+
+    return sampler.guided_search(inputs.select("segment").distinct(), score, "mape")
+
+
+def guided_trials(spark: SparkSession, folder: str) -> DataFrame:
+    """Every setting that the guided search tried, the round and its score."""
+    trials = _guided(spark, folder)
+    return trials.select("segment", "round", "param_id", "cps", "sps", "mode", _r("score").alias("mape"))
+
+
+def guided_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Best setting of each segment by the guided search, with as many trials as the plain draw has."""
+    trials = _guided(spark, folder).withColumnRenamed("score", "mape")
+    best = backtest.best_setting(trials, "mape")
+    return best.select("segment", "param_id", "cps", "sps", "mode", _r("mape"))
+
+
+def search_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the guided search would try next, given the scores of the grid."""
+    scores = _grid_scores(spark, folder).select("segment", "param_id", "cps", "sps", "mode", F.round("mape", DIGITS).alias("score"))
+    return sampler.proposals(settle(scores), F.lit(PROPOSED), 1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -299,6 +330,9 @@ QUERIES = {
         search_trials,
         tuned_objective,
         random_search,
+        search_proposals,
+        guided_trials,
+        guided_search,
     )
 }
 
@@ -478,6 +512,45 @@ scores AS (SELECT segment, p.param_id, any_value(cps) AS cps, any_value(sps) AS
              ON q.param_id = p.param_id GROUP BY ALL)"""
 
 
+_SPACE = """space AS (SELECT names.segment, round(CAST(0.01 AS DOUBLE) + i * CAST(0.005 AS DOUBLE), 3) AS cps, CAST(0.5 * (j + 1) AS DOUBLE) AS sps,
+            mode, CAST((i * 20 + j) * 2 + k AS INTEGER) AS param_id
+          FROM names, range(0, 199) a(i), range(0, 20) b(j), (VALUES (0, 'multiplicative'), (1, 'additive')) m(k, mode))"""
+
+
+def _density(axis: str, reach: float, size: int) -> str:
+    """Good and bad density at every place of an axis: one kernel per trial and the uniform density."""
+    kernel = f"exp(-pow((places.{axis} - tpe_parted.{axis}) / ({reach}::DOUBLE * 0.25::DOUBLE / pow(n, 0.2::DOUBLE)), 2) / 2)"
+    return f"""
+{axis}_weight AS (SELECT segment, places.{axis}, good, any_value(n) AS n, sum({kernel}) AS w FROM tpe_parted
+  JOIN (SELECT DISTINCT segment, {axis} FROM space) places USING (segment) GROUP BY segment, places.{axis}, good),
+{axis}_part AS (SELECT segment, {axis}, good, (n * w / sum(w) OVER (PARTITION BY segment, good) + 1::DOUBLE / {size}) / (n + 1) AS density
+  FROM {axis}_weight)"""
+
+
+def _proposals(batch: int, round_: int) -> str:
+    """The sampler given ``trials``: candidates tpe_raced by the good density, the best ratios win."""
+    return f""",
+searched AS (SELECT DISTINCT segment FROM trials),
+{_SPACE.replace("names", "searched")},
+tpe_placed AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score, param_id)
+    <= least(ceil(count(*) OVER (PARTITION BY segment) * 0.1::DOUBLE), 25) AS good FROM trials),
+tpe_parted AS (SELECT *, count(*) OVER (PARTITION BY segment, good) AS n FROM tpe_placed),
+{_density('cps', 0.99, 199)},
+{_density('sps', 9.5, 20)},
+mode_part AS (SELECT segment, m.mode, good, (count(*) FILTER (own = m.mode) + 0.5::DOUBLE) / (count(*) + 1) AS density
+  FROM (SELECT segment, good, mode AS own FROM tpe_parted), (VALUES ('multiplicative'), ('additive')) m(mode) GROUP BY segment, m.mode, good),
+tpe_weighed AS (SELECT segment, param_id, cps, sps, mode, good, c.density * s.density * m.density AS density FROM space
+  JOIN cps_part c USING (segment, cps) JOIN sps_part s USING (segment, sps, good) JOIN mode_part m USING (segment, mode, good)
+  ANTI JOIN trials USING (segment, cps, sps, mode)),
+tpe_both_parts AS (SELECT segment, param_id, cps, sps, mode, max(density) FILTER (good) AS l, max(density) FILTER (NOT good) AS g
+  FROM tpe_weighed GROUP BY ALL),
+tpe_raced AS (SELECT *, round(l / g, 9) AS ratio FROM tpe_both_parts QUALIFY row_number() OVER (PARTITION BY segment ORDER BY
+    -ln((CAST('0x' || substr(md5('0:' || segment || ':{round_}:' || param_id), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / l,
+    param_id) <= {batch * sampler.CANDIDATES}),
+proposed AS (SELECT segment, param_id, cps, sps, mode FROM tpe_raced
+  QUALIFY row_number() OVER (PARTITION BY segment ORDER BY ratio DESC, param_id) <= {batch})"""
+
+
 def _generated(initial: int) -> str:
     return _cutoffs(initial).removeprefix(OBSERVED)
 
@@ -530,13 +603,18 @@ ORACLE.update(
         ),
         "search_trials": sql.query(
             _NAMES
-            + """,
-space AS (SELECT names.segment, round(CAST(0.01 AS DOUBLE) + i * CAST(0.005 AS DOUBLE), 3) AS cps, CAST(0.5 * (j + 1) AS DOUBLE) AS sps,
-            mode, CAST((i * 20 + j) * 2 + k AS INTEGER) AS param_id
-          FROM names, range(0, 199) a(i), range(0, 20) b(j), (VALUES (0, 'multiplicative'), (1, 'additive')) m(k, mode))""",
+            + ",\n" + _SPACE,
             f"""SELECT segment, param_id, cps, sps, mode FROM space JOIN {_TRIALS} USING (segment)
                 QUALIFY row_number() OVER (PARTITION BY segment ORDER BY md5('0:' || segment || ':' || param_id), param_id) <= trials""",
         ),
+        "search_proposals": sql.query(
+            _grid(GRID_SEGMENTS, _generated(366), 90)
+            + f""",
+trials AS (SELECT segment, param_id, cps, sps, 'additive' AS mode, round(mape, {DIGITS}) AS score FROM scores)"""
+            + _proposals(PROPOSED, 1),
+            "SELECT * FROM proposed",
+            recursive=True,
+        ),
         "tuned_objective": sql.query(
             _cv(_LADDER, _cv_groups(TUNED_SEGMENTS).replace(COUNTRY_OF, _TUNER_COUNTRY))
             + f", modes AS (SELECT segment, mode AS tuned FROM {model_sql.TUNED})",
