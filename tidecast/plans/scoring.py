@@ -15,6 +15,7 @@ from tidecast.operators import series as ops
 from tidecast.plans import model_sql, sql
 from tidecast.plans.forecasting import DIGITS, whole_forecast
 from tidecast.session import new_output_dir, settle
+from tidecast.sources import published
 from tidecast.sources import tickets as src
 from tidecast.sources.files import read_csv, write_csv
 from tidecast.sources.registry import SEGMENTS, STAR_DATES, STAR_LABELS, Dates, Labels, exported_names
@@ -181,6 +182,33 @@ def model_export_month(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, path, MONTH_RESULT)
 
 
+def publish_segments(results: DataFrame, root: str) -> int:
+    """Publishes segment results as the next version of a results folder, replacing the segments that they hold."""
+    return published.write(results.select(*SEGMENT_RESULT.names), root, "segment", replace=True)
+
+
+def reconcile_published(spark: SparkSession, daily: DataFrame, root: str, version: int | None = None) -> DataFrame:
+    """The total of a daily table against the published results of its segments, per day."""
+    results = published.read(spark, root, SEGMENT_RESULT, "segment", version)
+    return scoring.reconcile_daily(scoring.total_actuals(daily), results)
+
+
+def _published_daily(spark: SparkSession, folder: str) -> DataFrame:
+    """Segment results published in two versions, the second of the model for all segments, and reconciled from the files."""
+    daily, root = _settled_daily(spark, folder), new_output_dir(spark, "published")
+    publish_segments(_results(daily), root)
+    publish_segments(model_results(spark, daily), root)
+    return reconcile_published(spark, daily, root)
+
+
+def published_reconcile_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return _round(_published_daily(spark, folder), *ERRORS, digits=DIGITS)
+
+
+def published_mape_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    return _round(scoring.mape(scoring.reconcile_monthly(_published_daily(spark, folder))), "mape", digits=DIGITS)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -208,6 +236,8 @@ QUERIES = {
         model_mape_daily,
         model_mape_monthly,
         model_export_month,
+        published_reconcile_daily,
+        published_mape_monthly,
     )
 }
 
@@ -312,5 +342,7 @@ ORACLE = {
     ),
     "model_mape_daily": sql.query(_MODEL, _mape("by_day", DIGITS), recursive=True),
     "model_mape_monthly": sql.query(_MODEL, _mape("by_month", DIGITS), recursive=True),
+    "published_reconcile_daily": sql.query(_MODEL, error_rows("ds", "by_day", DIGITS), recursive=True),
+    "published_mape_monthly": sql.query(_MODEL, _mape("by_month", DIGITS), recursive=True),
     "model_export_month": sql.query(_MODEL, error_rows("year_month", "by_month", DIGITS), recursive=True),
 }
