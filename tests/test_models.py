@@ -84,6 +84,43 @@ def test_ols_with_redundant_columns_still_fits(spark):
     assert np.allclose(fitted.yhat, fitted.y, atol=1e-4)
 
 
+def shares_left(x, kept):
+    """What is left of every column, as a share of its length, after projection on the kept columns before it."""
+    basis, found = np.zeros((len(x), 0)), []
+    for column in range(x.shape[1]):
+        rest = x[:, column] / (np.linalg.norm(x[:, column]) or 1.0)
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        found.append(np.linalg.norm(rest))
+        if kept[column]:
+            basis = np.column_stack([basis, rest / found[-1]])
+    return np.array(found)
+
+
+@pytest.mark.parametrize("n, start", [(1, D(2000, 1, 1)), (5, D(2000, 1, 1)), (20, D(2000, 1, 1)), (28, D(2001, 3, 1)), (800, D(2000, 1, 1))])
+def test_redundant_terms_are_dropped_and_listed(spark, n, start):
+    rng = np.random.default_rng(n)
+    series = make_series(spark, rng.normal(size=n), start=start)
+    rows = regression.design_rows(series, "series")
+    told = regression.kept_terms(regression.gram(rows, "series"), "series").orderBy("position").toPandas()
+    assert list(told.term) == features.DESIGN_NAMES and told.kept[0] and told.kept.sum() <= n
+    # A column is decided by the share 1e-4. Products hold half of the digits: shares near it may go either way.
+    left, kept = shares_left(design(n, start), told.kept), told.kept.to_numpy()
+    assert (left[kept] > 1e-5).all() and (left[~kept] < 1e-3).all()
+    if n >= 28:
+        assert kept[:8].all()
+    if n == 800:
+        assert kept.all()
+    beta = np.array(regression.fit_ols(series, "series").first().beta)
+    assert not beta[~told.kept.to_numpy()].any()
+
+
+def test_a_column_that_the_ones_before_it_make_up_goes(spark):
+    constant, days, empty = np.ones((70, 1)), np.eye(7)[np.arange(70) % 7], np.zeros((70, 1))
+    x = np.hstack([constant, days, empty])
+    assert list(np.flatnonzero(regression.independent(x.T @ x))) == [0, 1, 2, 3, 4, 5, 6]
+
+
 def test_gram_adds_up_over_tasks(spark):
     series = make_series(spark, wavy(200, noise=1.0)).repartition(7)
     rows = regression.design_rows(series, "series")

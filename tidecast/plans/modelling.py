@@ -86,6 +86,12 @@ def ols_gram(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def design_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every term of the design per series, and whether the fit holds it or finds it made up of the terms before."""
+    rows = regression.design_rows(_orgs(spark, folder), "series")
+    return regression.kept_terms(regression.gram(rows, "series"), "series")
+
+
 def ols_fit(spark: SparkSession, folder: str) -> DataFrame:
     fits = regression.named_coefficients(regression.fit_ols(_orgs(spark, folder), "series"), "series")
     return fits.select("series", "term", rounded(F.col("beta")).alias("beta"))
@@ -167,6 +173,7 @@ QUERIES = {
         fourier_features,
         design_matrix,
         ols_gram,
+        design_terms,
         ols_fit,
         ols_in_sample,
         ols_forecast_365,
@@ -212,17 +219,19 @@ xs AS (SELECT series, list_append(x, y) AS x FROM wide),
 products AS (SELECT series, i, j, sum(x[i] * x[j]) AS value FROM xs, range(1, {_N + 2}) a(i), range(1, {_N + 2}) b(j)
              GROUP BY ALL)"""
 )
-# Gauss-Jordan elimination on the normal equations, one pivot per recursion step.
+# Gauss-Jordan elimination on the normal equations, one pivot per recursion step; ``d`` holds the sums of squares. A column
+# of which nothing is left is passed over and has no effect.
 _OLS = (
     _GRAM
     + f""",
 matrix AS (SELECT series, list(row ORDER BY i) AS m FROM (
              SELECT series, i, list(value ORDER BY j) AS row FROM products WHERE i <= {_N} GROUP BY series, i) GROUP BY series),
-steps AS (SELECT series, 1 AS k, m FROM matrix
+steps AS (SELECT series, 1 AS k, m, list_transform(m, lambda r, i: r[i]) AS d FROM matrix
           UNION ALL
-          SELECT series, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k
-              THEN list_transform(r, lambda v: v / m[k][k])
-              ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+          SELECT series, k + 1, list_transform(m, lambda r, i: CASE
+              WHEN m[k][k] <= 1e-8 * d[k] THEN list_transform(r, lambda v: CASE WHEN i = k THEN 0.0::DOUBLE ELSE v END)
+              WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+              ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END), d
           FROM steps WHERE k <= {_N}),
 fit AS (SELECT series, list_transform(m, lambda r: r[{_N + 1}]) AS beta FROM steps WHERE k = {_N + 1})"""
 )
@@ -319,6 +328,12 @@ ORACLE = {
         f"""SELECT series, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, {sql.rnd('value', 4)} AS value
             FROM products WHERE i <= j""",
     ),
+    "design_terms": sql.query(
+        _OLS,
+        f"""SELECT series, CAST(k - 1 AS INTEGER) AS position, ({features.DESIGN_NAMES!r})[k] AS term, m[k][k] > 1e-8 * d[k] AS kept
+            FROM steps WHERE k <= {_N}""",
+        recursive=True,
+    ),
     "ols_fit": sql.query(
         _OLS,
         f"""SELECT series, unnest({features.DESIGN_NAMES!r}) AS term, {sql.rnd('unnest(beta)')} AS beta FROM fit""",
