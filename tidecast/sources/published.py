@@ -5,7 +5,8 @@ read the folders it names, so they see whole versions only:
 
 * a write that is cut off leaves folders that no manifest names; the version before stays readable;
 * replacing some parts writes these alone and publishes a manifest that keeps the folders of all others;
-* a manifest is created under the next number and never overwritten: of two writers at a time one fails and may try again;
+* a manifest gets the next number, which must be free: of two writers the second fails and may try again. The number is
+  looked up first; in the instant until the rename a second writer is kept out only by file systems that refuse a taken name;
 * an old version stays readable by its number, until its folders are removed with ``forget``.
 
 Manifests hold one line per part. Parts are the values of a partition column, whose number the registry bounds, not rows.
