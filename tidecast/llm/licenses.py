@@ -4,7 +4,8 @@ A template is wording with two kinds of marked regions: ``<<opt>> ... <<end>>``
 (and may hold further regions), ``<<var:N>>`` stands for one to N words of any kind, ``<<any:N>>`` for up to
 N. Everything else is mandatory: a text is accepted only if it has these words, in order and unchanged. A
 template is compiled into an automaton over words; all templates that start with the same word are tried
-where that word stands. Case of A-Z, punctuation, markup and line breaks do not matter, as words are runs of
+where that word stands. A license counts as given in full only by its whole wording: a text that breaks off,
+goes on differently or changes a word has no such label. Case of A-Z, punctuation, markup and line breaks do not matter, as words are runs of
 letters and digits.
 
 The work is per document, without a shuffle. A document is looked at word by word only if it has all words
@@ -30,7 +31,87 @@ BASE = (
     ("general public license", "gpl"),
 )
 
-#: (template, label). Public license notices; mandatory wording as published.
+# The published wording of whole licenses and of standard notices. What their authors let users fill in
+# (names, addresses, clause numbers) is optional or replaceable, all else is mandatory.
+MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+    "documentation files <<opt>>the software<<end>> to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and "
+    "to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice <<opt>>including the next paragraph<<end>> shall be included in "
+    "all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:12>> be "
+    "liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out "
+    "of or in connection with the software or the use or other dealings in the software"
+)
+ISC = (
+    "permission to use copy modify and <<opt>>or<<end>> distribute this software for any purpose with or without fee is "
+    "hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<var:12>> disclaims all warranties with regard to this software including all "
+    "implied warranties of merchantability and fitness in no event shall <<var:12>> be liable for any special direct "
+    "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+    "action of contract negligence or other tortious action arising out of or in connection with the use or performance "
+    "of this software"
+)
+ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will <<var:12>> be held liable "
+    "for any damages arising from the use of this software permission is granted to anyone to use this software for any "
+    "purpose including commercial applications and to alter it and redistribute it freely subject to the following "
+    "restrictions <<opt>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote "
+    "the original software if you use this software in a product an acknowledgment in the product documentation would be "
+    "appreciated but is not required <<opt>>2<<end>> altered source versions must be plainly marked as such and must not be "
+    "misrepresented as being the original software <<opt>>3<<end>> this notice may not be removed or altered from any "
+    "source distribution"
+)
+_BSD_GRANT = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met <<any:1>> redistributions of source code must retain the above copyright notice this "
+    "list of conditions and the following disclaimer <<any:1>> redistributions in binary form must reproduce the above "
+    "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+    "provided with the distribution "
+)
+_BSD_NAMES = (
+    "<<any:1>> neither the name of <<var:12>> nor the names of <<var:3>> contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission "
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the "
+    "implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "<<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not "
+    "limited to procurement of substitute goods or services loss of use data or profits or business interruption however "
+    "caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+    "arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+BSD_2 = _BSD_GRANT + _BSD_DISCLAIMER
+BSD_3 = _BSD_GRANT + _BSD_NAMES + _BSD_DISCLAIMER
+APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 <<opt>>the license<<end>> you may not use this file except in compliance "
+    "with the license you may obtain a copy of the license at <<var:1>> <<opt>>www<<end>> apache org licenses license 2 0 "
+    "<<any:2>> unless required by applicable law or agreed to in writing software distributed under the license is "
+    "distributed on an as is basis without warranties or conditions of any kind either express or implied see the license "
+    "for the specific language governing permissions and limitations under the license"
+)
+MPL_NOTICE = (
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not "
+    "distributed with this file you can obtain one at <<var:1>> <<opt>>www<<end>> mozilla org mpl 2 0"
+)
+
+
+def gnu_notice(name: str) -> str:
+    """The standard notice of a GNU license by its name without "gnu" and "license"; the program's name, the version and
+    the address at its end are replaceable."""
+    return (
+        f"this <<var:2>> is free software you can redistribute it and or modify it under the terms of the gnu {name} license as "
+        "published by the free software foundation either version <<var:2>> of the license or <<opt>>at your option<<end>> "
+        "any later version <<var:3>> is distributed in the hope that it will be useful but without any warranty without "
+        "even the implied warranty of merchantability or fitness for a particular purpose see the "
+        f"gnu {name} license for more details you should have received a copy of the gnu {name} license along with "
+        "<<var:3>> if not <<opt>>see<<end>> <<opt>>write to the free software foundation inc<<end>>"
+    )
+
+
+#: (template, label). Names of licenses in a sentence, then standard notices, then whole licenses.
 TEMPLATES = (
     ("released under <<opt>>the terms of<<end>> the mit license", "mit-notice"),
     ("licensed under the apache license <<opt>>version<<end>> 2 0", "apache-2.0"),
@@ -43,18 +124,17 @@ TEMPLATES = (
     ("licensed under <<opt>>the<<end>> <<opt>>creative commons<<end>> cc by <<opt>>license<<end>> 4 0", "cc-by-4.0"),
     ("licensed under a creative commons attribution <<opt>>noncommercial<<end>> <<opt>>sharealike<<end>> "
      "<<var:2>> international license", "cc"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and "
-     "associated documentation files <<opt>>the software<<end>> to deal in the software without restriction", "mit-text"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is "
-     "hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided "
-     "that the following conditions are met", "bsd"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu "
-     "<<opt>>lesser<<end>> <<opt>>affero<<end>> general public license as published by the free software foundation "
-     "either version <<var:1>> of the license or <<opt>>at your option<<end>> any later version", "gpl-notice"),
-    ("you may not use this file except in compliance with the license", "apache-notice"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("spdx license identifier <<var:1>> <<any:3>>", "spdx"),
+    (gnu_notice("general public"), "gpl-notice"),
+    (gnu_notice("lesser general public"), "lgpl-notice"),
+    (gnu_notice("affero general public"), "agpl-notice"),
+    (APACHE_NOTICE, "apache-notice"),
+    (MPL_NOTICE, "mpl-2.0"),
+    (MIT, "mit-text"),
+    (ISC, "isc"),
+    (ZLIB, "zlib"),
+    (BSD_2, "bsd-2-clause"),
+    (BSD_3, "bsd-3-clause"),
 )
 
 _MARK = re.compile(r"<<(opt|end|var:\d+|any:\d+)>>")
