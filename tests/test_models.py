@@ -481,3 +481,29 @@ def test_own_daily_table_with_export_labels(spark):
     assert len(found) == 500
     errors = found.abs_percent_error[found.unique_tickets > 0]
     assert errors.mean() < 0.05
+
+
+def test_sliding_median_matches_a_loop_and_repeats_no_row(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for name, n in (("a", 300), ("b", 7), ("none", 12)):
+        for i in range(n):
+            ape = None if name == "none" or rng.random() < 0.1 else float(np.round(rng.uniform(0, 1), 1))
+            rows.append((name, int(rng.integers(1, 31)), D(2000, 1, 1), D(2000, 1, 1) + dt.timedelta(days=i), ape))
+    frame = spark.createDataFrame(rows, "segment string, horizon int, cutoff date, ds date, ape double")
+    for share in (0.01, 0.1, 0.5, 1.0):
+        found = backtest._median_by_horizon(frame, share)
+        got = {(r["segment"], r["horizon"]): r["mdape"] for r in found.collect()}
+        want = {}
+        for name in ("a", "b", "none"):
+            own = sorted((r for r in rows if r[0] == name), key=lambda r: r[1:4])
+            w = max(int(len(own) * share), 1)
+            for h in {r[1] for r in own}:
+                last = max(i for i, r in enumerate(own) if r[1] == h) + 1
+                first = min(min(i for i, r in enumerate(own) if r[1] == h), last - w)
+                if first >= 0:
+                    known = [r[4] for r in own[first:last] if r[4] is not None]
+                    want[name, h] = float(np.median(known)) if known else None
+        assert got.keys() == want.keys()
+        assert all(got[k] == (None if v is None else pytest.approx(v, abs=1e-12)) for k, v in want.items())
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()

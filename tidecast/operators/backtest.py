@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -225,20 +229,38 @@ def metrics_by_horizon(cv: DataFrame, share: float = METRIC_SHARE) -> DataFrame:
 
 
 def _median_by_horizon(rows: DataFrame, share: float) -> DataFrame:
-    """Median percentage error over a day's rows and as many before them as make up the window."""
-    ordered = Window.partitionBy("segment").orderBy("horizon", "cutoff", "ds", "ape")
-    placed = rows.select(
-        "segment", "horizon", "ape", F.row_number().over(ordered).alias("row"),
-        F.count(F.lit(1)).over(Window.partitionBy("segment")).alias("total"),
-    )
-    days = placed.groupBy("segment", "horizon").agg(
-        F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.max("total").alias("total")
-    )
-    w = F.greatest(F.floor(F.col("total") * F.lit(share)), F.lit(1))
-    spans = days.withColumn("from_row", F.least("first_row", F.col("last_row") - w + 1)).filter("from_row >= 1")
-    wanted = spans.select("segment", "horizon", F.explode(F.sequence("from_row", F.col("last_row").cast("bigint"))).alias("row"))
-    return wanted.join(placed.select("segment", "row", "ape"), ["segment", "row"]).groupBy("segment", "horizon").agg(
-        F.median("ape").alias("mdape")
+    """Median percentage error over a day's rows and as many before them as make up the window.
+
+    A day ahead is one row that holds its errors in order; a segment's days slide over one sorted list, which every error
+    enters once and leaves once. A group holds the back-test rows of one segment: cutoffs x days ahead x observations
+    a day, whatever the ticket volume.
+    """
+    entries = F.sort_array(F.collect_list(F.struct("cutoff", "ds", "ape")))
+    runs = rows.groupBy("segment", "horizon").agg(F.transform(entries, lambda e: e["ape"]).alias("run"))
+
+    def slide(days: pd.DataFrame) -> pd.DataFrame:
+        days = days.sort_values("horizon")
+        entered = np.concatenate([np.asarray(run, float) for run in days["run"]])
+        size = max(math.floor(entered.size * share), 1)
+        held, first, end, found = [], 0, 0, []
+        for horizon, run in zip(days["horizon"], days["run"]):
+            begin, start = end, max(first, 0)
+            end += len(run)
+            for value in entered[begin:end]:
+                if not math.isnan(value):
+                    bisect.insort(held, value)
+            first = min(begin, end - size)
+            for value in entered[start : max(first, 0)]:
+                if not math.isnan(value):
+                    del held[bisect.bisect_left(held, value)]
+            if first >= 0:
+                n = len(held)
+                found.append((horizon, 0.5 * held[(n - 1) // 2] + 0.5 * held[n // 2] if n else None))
+        return pd.DataFrame({"segment": days["segment"].iloc[0], "horizon": [h for h, _ in found],
+                             "mdape": pd.Series([m for _, m in found], dtype=float)})
+
+    return runs.groupBy("segment").applyInPandas(slide, "segment string, horizon int, mdape double").select(
+        "segment", "horizon", F.when(~F.isnan("mdape"), F.col("mdape")).alias("mdape")
     )
 
 

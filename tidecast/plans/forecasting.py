@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidecast.functions.numbers import rounded
-from tidecast.operators import backtest, features, forecast, sampler, series
+from tidecast.operators import backtest, bands, features, forecast, sampler, series
 from tidecast.plans import model_sql, sql
 from tidecast.plans.modelling import COUNTRY_OF, OBSERVED, settled_days, whole_history
 from tidecast.session import settle
@@ -82,6 +82,17 @@ def forecast_bands(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("segment", "ds", _r("yhat"), _r("yhat_lower"), _r("yhat_upper"))
 
 
+def simulated_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """The next 180 days with bands from simulated trend changes, which widen with the days ahead."""
+    days = settled_days(spark, folder)
+    inputs, fits = _whole_fit(spark, days)
+    fits = settle(fits)
+    frame = features.future_frame(days).filter("future").join(whole_history(days), "segment")
+    ahead = forecast.components(forecast.with_trend(_seasonal(frame), inputs), fits)
+    found = bands.simulated_bands(ahead, bands.trend_prospects(inputs, fits), features.FUTURE_DAYS)
+    return found.select("segment", "ds", "step", _r("yhat"), _r("yhat_lower"), _r("yhat_upper"))
+
+
 def changepoint_deltas(spark: SparkSession, folder: str) -> DataFrame:
     inputs, fits = _whole_fit(spark, settled_days(spark, folder))
     return forecast.changepoint_deltas(inputs, fits).select("segment", "ds", _r("delta"), "significant")
@@ -308,6 +319,7 @@ QUERIES = {
         forecast_180,
         forecast_components,
         forecast_bands,
+        simulated_bands,
         changepoint_deltas,
         cv_cutoffs,
         cutoff_ladder,
@@ -561,6 +573,27 @@ def _scores(metric: str) -> str:
 
 _WHOLE = model_sql.whole()
 
+
+def _uniform(place: int) -> str:
+    return f"((CAST('0x' || substr(digest, {8 * place + 1}, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE))"
+
+
+_SIMULATED = f""",
+prospects AS (SELECT segment, cutoff, sigma, least(number / days, CAST(1 AS DOUBLE)) AS rate,
+    CASE WHEN number > 0 THEN list_sum(list_transform(trend_beta[3:len(trend_beta)], lambda v: abs(v))) / number / days ELSE 0.0 END AS change
+  FROM (SELECT segment, cutoff, sigma, trend_beta, CAST(days AS DOUBLE) AS days, CAST(len(trend_beta) - 2 AS DOUBLE) AS number
+        FROM fits JOIN span USING (gid))),
+digests AS (SELECT segment, rate, change, sigma, path, step, md5(concat_ws(':', '0', segment, CAST(cutoff AS VARCHAR), path, step)) AS digest
+  FROM prospects, range(1, {bands.PATHS + 1}) p(path), range(1, {features.FUTURE_DAYS + 1}) s(step)),
+uniforms AS (SELECT * EXCLUDE (digest), {_uniform(0)} AS u, {_uniform(1)} - CAST(0.5 AS DOUBLE) AS v, {_uniform(2)} AS w, {_uniform(3)} AS x FROM digests),
+draws AS (SELECT segment, path, step, CASE WHEN u < rate THEN -change * sign(v) * ln(1 - 2 * abs(v)) ELSE 0.0 END AS bend,
+    sigma * sqrt(-2 * ln(w)) * cos(2 * pi() * x) AS noise FROM uniforms),
+paths AS (SELECT segment, path, step, noise, coalesce(sum(bend) OVER before * step - sum(bend * step) OVER before, 0) AS drift
+  FROM draws WINDOW before AS (PARTITION BY segment, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+simulated AS (SELECT segment, ds, step, any_value(yhat) AS yhat, quantile_cont(yhat + noise + drift *
+    CASE WHEN mode = 'multiplicative' THEN 1 + weekly + yearly + holidays ELSE 1 END, [{bands.LOWER}, {bands.UPPER}]) AS ends
+  FROM (SELECT *, ds - cutoff AS step FROM predicted WHERE ds > cutoff) JOIN paths USING (segment, step) GROUP BY segment, ds, step)"""
+
 ORACLE.update(
     {
         "forecast_fit": sql.query(
@@ -586,6 +619,12 @@ ORACLE.update(
                   {_d(f'yhat + {model_sql.BAND} * sigma')} AS yhat_upper FROM predicted""",
             recursive=True,
         ),
+        "simulated_bands": sql.query(
+            _WHOLE + _SIMULATED,
+            f"""SELECT segment, ds, CAST(step AS INTEGER) AS step, {_d('yhat')} AS yhat, {_d('ends[1]')} AS yhat_lower,
+                  {_d('ends[2]')} AS yhat_upper FROM simulated""",
+            recursive=True,
+        ),
         "changepoint_deltas": sql.query(
             _WHOLE,
             f"""SELECT segment, ds, {_d('delta')} AS delta, abs(delta) >= 0.01 AS significant FROM (
