@@ -42,7 +42,7 @@ def test_query_against_all_pairs(spark, folder):
         words = number(text)
         for item_id, item in tests:
             # a pair that shares few words cannot reach the limit
-            if np.isin(item, words).mean() >= 0.5:
+            if np.isin(item, words).mean() >= decontaminate.THRESHOLD:
                 score = align(item, words)[0] / (MATCH * item.size)
                 if score >= decontaminate.THRESHOLD:
                     want[key, item_id] = score
@@ -147,3 +147,44 @@ def test_excerpt_of_a_long_item(spark):
     assert set(found) == {1, 2}
     assert found[1]["score"] == 0.375 and (found[1]["first_word"], found[1]["end_word"]) == (60, 210)
     assert {r["doc_id"] for r in decontaminate.remove_contaminated(frame, tests).collect()} == {3, 4}
+
+
+def test_every_edit_above_the_limit_leaves_a_seed(spark):
+    """Words replaced, deleted and inserted at regular and at random places, in items of 15 to 100 words: whatever the
+    alignment puts above the limit is found."""
+    rng = random.Random(9)
+    lexicon = [f"w{i}" for i in range(20_000)]
+    fresh = iter(range(10**9))
+    new = lambda: f"n{next(fresh)}"
+    edits = {}
+    for k in (3, 4, 5, 6):
+        edits[f"replace {k}"] = lambda i, w, k=k: [new() if i % k == k - 1 else w]
+        edits[f"delete {k}"] = lambda i, w, k=k: [] if i % k == k - 1 else [w]
+    for k in (2, 3):
+        edits[f"insert {k}"] = lambda i, w, k=k: [w, new()] if i % k == k - 1 else [w]
+    for p in (0.2, 0.3, 0.4):
+        edits[f"random {p}"] = lambda i, w, p=p: [new() if rng.random() < p else w]
+    items, docs, cells = [], [], {}
+    for size in (15, 40, 100):
+        for name, edit in edits.items():
+            for _ in range(12 if "random" in name else 2):
+                item = rng.sample(lexicon, size)
+                copy = [x for i, w in enumerate(item) for x in edit(i, w)]
+                number = {w: i for i, w in enumerate(item)}
+                place = lambda words: np.array([number.get(w, -1) for w in words])
+                if align(place(item), place(copy))[0] >= decontaminate.THRESHOLD * MATCH * size:
+                    cells[len(items)] = (size, name)
+                docs.append((len(items), " ".join([*rng.sample(lexicon, 30), *copy, *rng.sample(lexicon, 30)])))
+                items.append((len(items), " ".join(item)))
+    assert {name for _, name in cells.values()} == set(edits)
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                                       spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    own = {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
+    assert not {cells[k] for k in cells if k not in own}
+
+
+def test_ties_give_the_first_passage(spark):
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 30 + words + ["y"] * 40 + words))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 7, 1.0, 30, 50)]

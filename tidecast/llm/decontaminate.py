@@ -3,7 +3,9 @@
 1. The n-grams of the test items are counted over all training documents (document frequency).
 2. Every n-gram of an item that stands in documents is a seed, unless it is common wording: in many documents and
    in many items. Of every STRIDE n-grams in a row the rarest that stands in documents is one in any case.
-   So an edited copy is found by any n-gram that its edits left.
+   So an edited copy is found by any n-gram that its edits left. N-grams are neighbours or leave a word out, in items and in
+   documents alike: a gap meets a gap where a word was replaced, neighbours where one was inserted or deleted. So a copy
+   with every third word replaced or deleted, or a word inserted after every second, is found too.
 3. A seed joins the documents that hold it to the item. Passages with too few words of the item to reach the limit
    are not aligned. Around each diagonal with seeds the item is aligned
    with the passage (Smith and Waterman, 1981: local, linear gaps), so edited and paraphrased copies score
@@ -31,6 +33,8 @@ from tidecast.llm.common import keep_rows, plain, rows_of
 
 #: Words of an n-gram, n-grams of which one is a seed, characters of test items per block.
 SEED, STRIDE, BLOCK_CHARS = 3, 4, 2_000_000
+#: Places of the words of an n-gram that leaves one out, counted from its first.
+GAPPED = (0, 1, 3)
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of a full copy's score from which on a passage counts as a copy.
 THRESHOLD = 0.4
@@ -48,13 +52,19 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8").translate(_FOLD).split()
 
 
-def codes(ids: np.ndarray, n: int = SEED) -> np.ndarray:
-    """A number per n-gram of word ids, by its first word's place; 0 where a word is unknown (id < 0)."""
-    size = ids.size - n + 1
+def shapes(n: int) -> list[tuple[int, ...]]:
+    """The places of the words of n-grams: neighbours, and for those of full size with a gap."""
+    return [tuple(range(n)), *[GAPPED] * (n == SEED)]
+
+
+def codes(ids: np.ndarray, shape: tuple[int, ...] = tuple(range(SEED))) -> np.ndarray:
+    """A number per n-gram of word ids, by its first word's place; 0 where a word is unknown (id < 0). It is that of the
+    n-gram's words: a gap does not change it."""
+    size = ids.size - shape[-1]
     if size <= 0:
         return np.zeros(0, np.uint64)
     found, known = np.zeros(size, np.uint64), np.ones(size, bool)
-    for k in range(n):
+    for k in shape:
         part = ids[k : k + size]
         known &= part >= 0
         found = found * _FACTOR + (part + 1).astype(np.uint64)
@@ -106,8 +116,12 @@ class Items:
         #: An item shorter than an n-gram is its own seed, looked up by its words; the others by their n-grams.
         self.sizes = [min(SEED, w.size) for w in self.words]
 
-    def grams(self) -> list[np.ndarray]:
-        return [codes(w, n) for w, n in zip(self.words, self.sizes)]
+    def grams(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Item, number of words and n-grams, shape by shape."""
+        for k, (words, n) in enumerate(zip(self.words, self.sizes)):
+            for shape in shapes(n):
+                if words.size > shape[-1]:
+                    yield k, n, codes(words, shape)
 
     def of(self, text: str) -> np.ndarray:
         words = words_of(text)
@@ -127,8 +141,10 @@ def _at(found: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     """In how many rows of ``docs`` each n-gram of the block stands, and under 0 the number of rows; a task counts its rows
     before the shuffle."""
-    sizes = sorted(set(items.sizes))
-    wanted = {n: np.unique(np.concatenate([g for g, k in zip(items.grams(), items.sizes) if k == n])) for n in sizes}
+    listed: dict[int, list] = {n: [] for n in sorted(set(items.sizes))}
+    for _, n, grams in items.grams():
+        listed[n].append(grams)
+    wanted = {n: np.unique(np.concatenate(grams)) for n, grams in listed.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = {n: np.zeros(w.size, np.int64) for n, w in wanted.items()}, 0
@@ -137,8 +153,8 @@ def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
             for (text,) in rows_of(batch, "content"):
                 ids = items.of(text)
                 for n, ordered in wanted.items():
-                    found = codes(ids, n)
-                    here = np.unique(found[_at(found, ordered)])
+                    found = [codes(ids, shape) for shape in shapes(n)]
+                    here = np.unique(np.concatenate([f[_at(f, ordered)] for f in found]))
                     counts[n][np.searchsorted(ordered, here)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([rows], pa.int64())], names=["gram", "n"])
         for n, ordered in wanted.items():
@@ -189,12 +205,15 @@ class Matcher:
 
     def __init__(self, items: Items, frequency: dict[int, int], threshold: float, run_words: int = RUN_WORDS):
         self.items, self.threshold, self.run_words = items, threshold, run_words
-        #: Per n-gram size: which items have the seed, and where.
+        #: Per number of words: which items have the seed, and where.
         self.owners: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in set(items.sizes)}
-        owned = Counter(g for grams in items.grams() for g in set(grams.tolist()))
+        held: list[set] = [set() for _ in items.keys]
+        for k, _, grams in items.grams():
+            held[k].update(grams.tolist())
+        owned = Counter(g for own in held for g in own)
         least = COMMON_SHARE * frequency.get(0, 0)
         common = {g for g, n in owned.items() if n > COMMON_ITEMS and frequency.get(g, 0) > least}
-        for k, (grams, n) in enumerate(zip(items.grams(), items.sizes)):
+        for k, n, grams in items.grams():
             for place in all_seeds(grams, frequency, common):
                 self.owners[n].setdefault(int(grams[place]), []).append((k, place))
         self.ordered = {n: np.array(sorted(o), np.uint64) for n, o in self.owners.items()}
@@ -203,10 +222,10 @@ class Matcher:
         """(item_id, score, first word, word after the last) per item found, its best passage."""
         ids, hits = self.items.of(text), {}
         for n, wanted in self.ordered.items():
-            found = codes(ids, n)
-            for place in _at(found, wanted).tolist():
-                for k, at in self.owners[n][int(found[place])]:
-                    hits.setdefault(k, []).append((place, at))
+            for found in (codes(ids, shape) for shape in shapes(n)):
+                for place in _at(found, wanted).tolist():
+                    for k, at in self.owners[n][int(found[place])]:
+                        hits.setdefault(k, []).append((place, at))
         best: dict = {}
         for k, places in hits.items():
             item, key = self.items.words[k], self.items.keys[k]
