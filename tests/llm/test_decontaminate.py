@@ -31,6 +31,17 @@ def test_align_equals_the_table():
         assert slow_score(item.tolist(), passage[start:end].tolist()) == score
 
 
+def test_no_alignment_exceeds_its_bounds():
+    rng = random.Random(5)
+    for _ in range(300):
+        item = np.array([rng.randint(0, 9) for _ in range(rng.randint(1, 12))])
+        passage = np.array([rng.randint(-1, 14) for _ in range(rng.randint(1, 25))])
+        score = slow_score(item.tolist(), passage.tolist())
+        shared = decontaminate.among(passage, np.unique(item))
+        assert shared.tolist() == [p in item for p in passage.tolist()]
+        assert score <= decontaminate.bound(shared) and score <= decontaminate.bound(np.isin(item, passage))
+
+
 def test_query_against_all_pairs(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{folder}/benchmark.parquet").collect()

@@ -6,7 +6,7 @@
    So an edited copy is found by any n-gram that its edits left. N-grams are neighbours or leave a word out, in items and in
    documents alike: a gap meets a gap where a word was replaced, neighbours where one was inserted or deleted. So a copy
    with every third word replaced or deleted, or a word inserted after every second, is found too.
-3. A seed joins the documents that hold it to the item. Passages with too few words of the item to reach the limit
+3. A seed joins the documents that hold it to the item. Passages whose words cannot reach the limit in any order
    are not aligned. Around each diagonal with seeds the item is aligned
    with the passage (Smith and Waterman, 1981: local, linear gaps), so edited and paraphrased copies score
    by how much of them is left. The score is that of the best alignment divided by that of a full copy. A long
@@ -101,6 +101,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def bound(shared: np.ndarray) -> int:
+    """What no alignment can exceed, from which words of one side the other side has: a word in the aligned run gives MATCH
+    at most if it is shared, else a mismatch or a gap. The best run of such values."""
+    sums = np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))
+    before = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
+    return int((sums - np.minimum(before, 0)).max()) if shared.size else 0
+
+
+def among(words: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the words are in a sorted array that is not empty."""
+    return ordered[np.minimum(np.searchsorted(ordered, words), ordered.size - 1)] == words
+
+
 class Items:
     """The test items of one block as word ids."""
 
@@ -216,6 +229,7 @@ class Matcher:
         for k, n, grams in items.grams():
             for place in all_seeds(grams, frequency, common):
                 self.owners[n].setdefault(int(grams[place]), []).append((k, place))
+        self.distinct = [np.unique(words) for words in items.words]
         self.ordered = {n: np.array(sorted(o), np.uint64) for n, o in self.owners.items()}
 
     def __call__(self, text: str) -> list[tuple]:
@@ -231,10 +245,11 @@ class Matcher:
             item, key = self.items.words[k], self.items.keys[k]
             limit = min(self.threshold * MATCH * item.size, MATCH * self.run_words)
             for low, high in _passages(places, item.size, ids.size):
-                # each match takes a word of the item and one of the passage
-                if MATCH * np.isin(item, ids[low:high]).sum() < limit - 1e-6:
+                passage = ids[low:high]
+                shared = among(passage, self.distinct[k])
+                if bound(shared) < limit - 1e-6 or bound(among(item, np.unique(passage[shared]))) < limit - 1e-6:
                     continue
-                score, start, end = align(item, ids[low:high])
+                score, start, end = align(item, passage)
                 share = score / (MATCH * item.size)
                 if (share >= self.threshold or score >= MATCH * self.run_words) and share > best.get(key, (0.0,))[0]:
                     best[key] = share, low + start, low + end
