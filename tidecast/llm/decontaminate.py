@@ -104,9 +104,8 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 def bound(shared: np.ndarray) -> int:
     """What no alignment can exceed, from which words of one side the other side has: a word in the aligned run gives MATCH
     at most if it is shared, else a mismatch or a gap. The best run of such values."""
-    sums = np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))
-    before = np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))
-    return int((sums - np.minimum(before, 0)).max()) if shared.size else 0
+    sums = np.concatenate([[0], np.cumsum(np.where(shared, MATCH, max(MISMATCH, GAP)))])
+    return int((sums - np.minimum.accumulate(sums)).max())
 
 
 def among(words: np.ndarray, ordered: np.ndarray) -> np.ndarray:
