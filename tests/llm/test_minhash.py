@@ -95,6 +95,22 @@ def test_common_part_below_the_limit_makes_no_pairs(spark, monkeypatch):
     assert total[2] <= 5 * total[0] and total[2] <= 4 * 800
 
 
+def test_sets_of_candidates_only_are_written(spark, monkeypatch):
+    """Texts that share nothing with another leave no set on disk; a set that is written is whole and stands once."""
+    rng, written = random.Random(12), []
+    plain = minhash.settle
+    monkeypatch.setattr(minhash, "settle", lambda frame: (written.append(plain(frame)), written[-1])[1])
+    monkeypatch.setattr(minhash, "discard", lambda *frames: None)
+    rows = [(i, " ".join(f"own{rng.randrange(10**9)}" for _ in range(60))) for i in range(50)]
+    rows += [(50, rows[0][1] + " more"), (51, rows[0][1] + " more"), (52, (rows[0][1] + " more").upper()), (53, None), (53, None), (None, rows[1][1])]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == [-1, *range(50), 53]
+    sets = [f for f in written if "grams" in f.columns]
+    assert len(sets) == 1
+    texts = {rows[0][1], rows[50][1]}
+    assert sorted(sorted(r["grams"]) for r in sets[0].collect()) == sorted(sorted(minhash.shingles(t.encode()).view(np.int64).tolist()) for t in texts)
+
+
 def test_forest_is_exact():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2**60, 60, dtype=np.int64)

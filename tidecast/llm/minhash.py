@@ -64,24 +64,46 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, digest, node, keys, grams) for every row: hash of the text, of its set of shingles, bands, the set."""
+    """Rows (doc_id, digest, node, keys) for every row: hash of the text, of its set of shingles, bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def lists(arrays: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *(a.size for a in arrays)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 sets = [shingles(raw) for (raw,) in rows_of(batch, "raw")]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                columns = [*batch.columns[:2], pa.array(nodes), lists([bands(s) for s in sets]), lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "keys", "grams"])
+                columns = [*batch.columns[:2], _nodes(sets), _lists([bands(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "keys"])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(plain(text)).alias("digest"), utf8(text).alias("raw"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, digest bigint, node bigint, keys array<bigint>, grams array<bigint>")
+    return chosen.mapInArrow(run, f"doc_id {kind}, digest bigint, node bigint, keys array<bigint>")
+
+
+def _nodes(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(a.size for a in arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
+def sets_of(nodes: DataFrame, found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (node, grams) with the whole sets of the given nodes, built again from one text of each.
+
+    A text is smaller than its set, and most texts have no candidate: so the sets of all texts are neither written nor
+    shuffled. Copies of a text are folded in the tasks that read them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                sets = [shingles(raw) for (raw,) in rows_of(whole.slice(at, BATCH), "raw")]
+                yield pa.RecordBatch.from_arrays([_nodes(sets), _lists(sets)], names=["node", "grams"])
+
+    one = found.groupBy("node").agg(F.min("digest").alias("digest")).join(nodes, "node", "left_semi").select("digest")
+    texts = docs.select(F.xxhash64(plain(text)).alias("digest"), utf8(text).alias("raw")).groupBy("digest").agg(F.first("raw").alias("raw"))
+    return texts.join(one, "digest").select("raw").mapInArrow(run, "node bigint, grams array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,12 +166,12 @@ def _in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("members").mapInArrow(run, "u bigint, v bigint")
 
 
-def classes(found: DataFrame) -> DataFrame:
-    """Rows (node, root) for the nodes of ``prints`` that have a link, by their exact components."""
+def classes(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (node, root) for the nodes that have a link, by their exact components; ``found`` are the ``prints`` of ``docs``."""
     keyed = found.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("key")
     members = settle(keyed.join(shared, "key").distinct())
-    sets = settle(found.select("node", "grams").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sets = settle(sets_of(members.select("node").distinct(), found, docs, text))
     crowds = settle(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select(F.col("key").alias("its_key")))
     crowded = F.col("key") == F.col("its_key")
     one, other = (members.join(crowds, crowded, "left_anti").select("key", F.col("node").alias(k)) for k in "uv")
@@ -191,7 +213,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     part in the links, cannot stand for a class, and stay. Texts without words are copies of each other.
     """
     found = settle(prints(docs, doc_id, text))
-    roots = classes(found)
+    roots = classes(found, docs, text)
     named = found.select("doc_id", "digest", "node").where("doc_id IS NOT NULL").join(roots, "node", "left")
     first = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "digest")).alias("kept"))
     key, mark = fresh("kept_id", docs), fresh("kept_digest", docs)
