@@ -21,7 +21,10 @@ def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: similarity of 0.8 or more over 5-word shingles."""
+    """One document of each class of near-duplicates stays: similarity of 0.8 or more over 5-word shingles.
+
+    The links come from op1's fingerprints and masks first, from MinHash bands where those do not reach.
+    """
     return minhash.keep_one(docs)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm import cases
-from tidecast.llm import minhash
+from tidecast.llm import minhash, simhash
 
 
 def word_sets(text):
@@ -111,6 +111,34 @@ def test_sets_of_candidates_only_are_written(spark, monkeypatch):
     assert sorted(sorted(r["grams"]) for r in sets[0].collect()) == sorted(sorted(minhash.shingles(t.encode()).view(np.int64).tolist()) for t in texts)
 
 
+def test_fingerprints_link_before_bands(spark, folder, monkeypatch):
+    """Where bands share nothing, op1's fingerprints still find copies that differ little; the exact similarity decides."""
+    rng, words = random.Random(13), [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(6)]
+    rows = [(10 * i + k, t + f" more{k}" * (k > 0)) for i, t in enumerate(texts) for k in range(3)]
+    chant = "one two three four five " * 100
+    rows += [(100 + k, chant + " ".join(f"own{k}x{j}" for j in range(20))) for k in range(2)]
+    prints = [simhash.simhash(t.encode(), 5) for _, t in rows]
+    assert (prints[-1] ^ prints[-2]).bit_count() <= simhash.RADIUS and similarity(word_sets(rows[-1][1]), word_sets(rows[-2][1])) < 0.2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    made, plain = [], minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets: (made.append(pairs.count()), plain(pairs, sets))[1])
+    wanted = brute_force(rows)
+    assert wanted == [0, 10, 20, 30, 40, 50, 100, 101]
+    assert sorted(r["doc_id"] for r in stage(spark, frame, folder).collect()) == wanted
+    assert made[0] >= 12 and made[2:] == [0]
+    monkeypatch.setattr(minhash, "bands", lambda found: np.zeros(0, np.int64))
+    assert sorted(r["doc_id"] for r in stage(spark, frame, folder).collect()) == wanted
+
+
+def test_links_of_a_chain_of_fingerprints_are_all_compared(spark):
+    """A link goes unseen only where its ends are in one class; one link a node would leave the third text alone."""
+    sets = spark.createDataFrame([(1, list(range(0, 10))), (2, list(range(100, 200))), (3, list(range(101, 200)))], "node bigint, grams array<bigint>")
+    links = spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "u bigint, v bigint")
+    assert [tuple(r) for r in minhash._first_classes(links, sets).collect()] == [(3, 2)]
+
+
 def test_forest_is_exact():
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2**60, 60, dtype=np.int64)

@@ -1,10 +1,13 @@
 """Near-duplicates by word shingles: every pair whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates share a band: BANDS bands of ROWS MinHash values each. A pair at similarity 0.8 shares none with a chance of
-5 in a million, at 0.85 of 6 in 10**9. Every link that is used is confirmed by the exact similarity of the two sets.
+Candidates come from two methods. First SimHash with covering masks (``simhash.links``): fingerprints of the same
+shingles with at most ``simhash.RADIUS`` differing bits. That reaches all copies that are nearly equal, but few at 0.8.
+So texts of other classes meet again by bands: BANDS bands of ROWS MinHash values each. A pair at similarity 0.8 shares none
+with a chance of 5 in a million, at 0.85 of 6 in 10**9. Every link that is used is confirmed by the exact similarity of the
+two sets, whichever method finds it.
 
 A class is a connected component of the links. Copies with one set of shingles are one node from the start. The pairs of a
-small band are rows. In a crowded band nodes are first compared with one pivot a round, at most one pair per node; a band
+small band are rows, unless fingerprints joined their classes before. In a crowded band nodes are first compared with one pivot a round, at most one pair per node; a band
 whose nodes are all in one class is closed and never looked at again. So a large group of copies costs a few
 pairs per member. Where pivots close little, the members of a band meet in blocks of bounded size inside a map, which counts
 their common shingles all at once and returns links only, at most one per member. No pair is left out that could join two classes.
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm import simhash
 from tidecast.llm.common import fresh, plain, rows_of, utf8
 from tidecast.llm.graph import components
 from tidecast.session import discard, settle
@@ -64,19 +68,22 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, digest, node, keys) for every row: hash of the text, of its set of shingles, bands."""
+    """Rows (doc_id, digest, node, fp, keys) for every row: hash of the text, of its set of shingles, fingerprint, bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                sets = [shingles(raw) for (raw,) in rows_of(batch, "raw")]
-                columns = [*batch.columns[:2], _nodes(sets), _lists([bands(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "keys"])
+                sets, fps = [], []
+                for (raw,) in rows_of(batch, "raw"):
+                    sets.append(shingles(raw))
+                    fps.append(simhash.simhash(raw, SHINGLE))
+                columns = [*batch.columns[:2], _nodes(sets), pa.array(fps, pa.int64()), _lists([bands(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "node", "fp", "keys"])
 
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(plain(text)).alias("digest"), utf8(text).alias("raw"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, digest bigint, node bigint, keys array<bigint>")
+    return chosen.mapInArrow(run, f"doc_id {kind}, digest bigint, node bigint, fp bigint, keys array<bigint>")
 
 
 def _nodes(sets: list[np.ndarray]) -> pa.Array:
@@ -166,17 +173,58 @@ def _in_blocks(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("members").mapInArrow(run, "u bigint, v bigint")
 
 
+def by_fingerprint(found: DataFrame) -> DataFrame:
+    """Rows (u, v), u > v: nodes with one fingerprint or with linked ones, enough to connect all that are within the radius."""
+    prints_ = settle(found.select("fp", "node").distinct())
+    firsts = settle(prints_.groupBy("fp").agg(F.min("node").alias("first")))
+    near = simhash.links(firsts.select("fp"))
+    one, other = (firsts.select(F.col("fp").alias(k), F.col("first").alias(f"of_{k}")) for k in "uv")
+    across = near.join(one, "u").join(other, "v").select("of_u", "of_v")
+    within = prints_.join(firsts, "fp").select("node", "first")
+    ends = across.unionByName(within.toDF("of_u", "of_v")).where("of_u != of_v")
+    found_links = settle(ends.select(F.greatest("of_u", "of_v").alias("u"), F.least("of_u", "of_v").alias("v")).distinct())
+    discard(prints_, firsts)
+    return found_links
+
+
+def _by_label(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """The rows with the class of their node, the node itself if it has no link yet."""
+    its = labels.select(F.col("node").alias("its_node"), "root")
+    return rows.join(its, F.col(node) == F.col("its_node"), "left").withColumn(label, F.coalesce("root", node)).drop("its_node", "root")
+
+
+def _first_classes(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """The confirmed ones among the links, by which all that would be confirmed are in one class.
+
+    Every node tries one link first; the other links are compared only where their ends are not in one class by then.
+    """
+    edges = settle(_confirmed(links.groupBy("u").agg(F.min("v").alias("v")), sets))
+    labels = components(edges)
+    apart = _by_label(_by_label(links, labels, "u", "label_u"), labels, "v", "label_v").where("label_u != label_v")
+    return _added(edges, _confirmed(apart.select("u", "v"), sets))
+
+
 def classes(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (node, root) for the nodes that have a link, by their exact components; ``found`` are the ``prints`` of ``docs``."""
     keyed = found.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("key")
     members = settle(keyed.join(shared, "key").distinct())
-    sets = settle(sets_of(members.select("node").distinct(), found, docs, text))
-    crowds = settle(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select(F.col("key").alias("its_key")))
+    links = by_fingerprint(found)
+    ends = [links.select(F.col(k).alias("node")) for k in "uv"]
+    sets = settle(sets_of(members.select("node").unionByName(ends[0]).unionByName(ends[1]).distinct(), found, docs, text))
+    edges = _first_classes(links, sets)
+    labelled = settle(_by_label(members, components(edges)))
+    mixed = labelled.groupBy(F.col("key").alias("its_key")).agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    mixed = settle(mixed.where("a != b").select("its_key", "n"))
     crowded = F.col("key") == F.col("its_key")
-    one, other = (members.join(crowds, crowded, "left_anti").select("key", F.col("node").alias(k)) for k in "uv")
-    edges = settle(_confirmed(one.join(other, "key").where("u < v").select("u", "v").distinct(), sets))
-    open_ = settle(members.join(crowds, crowded, "left_semi").select("key", "node", F.col("node").alias("label")))
+    one, other = (
+        labelled.join(mixed.where(F.col("n") <= CROWDED), crowded, "left_semi").select("key", F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+        for k in "uv"
+    )
+    pairs = one.join(other, "key").where("u < v AND label_u != label_v").select("u", "v").distinct()
+    open_ = settle(labelled.join(mixed.where(F.col("n") > CROWDED), crowded, "left_semi"))
+    edges = _added(edges, _confirmed(pairs, sets))
+    discard(members, links, labelled, mixed)
     rows, salt = open_.count(), 0
     while rows:
         order = F.struct(F.xxhash64("node", F.lit(salt)).alias("at"), "node", "label")
@@ -184,9 +232,7 @@ def classes(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
         far = open_.join(pivots, crowded & (F.col("label") != F.col("pivot.label")))
         met = far.groupBy(F.col("node").alias("u")).agg(F.min("pivot.node").alias("v"))
         edges = _added(edges, _confirmed(met, sets))
-        labels = components(edges).select(F.col("node").alias("its_node"), "root")
-        named = open_.join(labels, F.col("node") == F.col("its_node"), "left").select("key", "node", F.coalesce("root", "label").alias("label"))
-        named = settle(named)
+        named = settle(_by_label(open_.select("key", "node"), components(edges)))
         mixed = named.groupBy(F.col("key").alias("its_key")).agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b")
         before, rows = rows, 0
         left = settle(named.join(mixed, crowded, "left_semi"))
@@ -195,7 +241,7 @@ def classes(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
         if rows > (1 - CLOSED) * before:
             edges = _added(edges, _in_blocks(open_, sets))
             break
-    discard(members, sets, crowds, open_)
+    discard(sets, open_)
     return components(edges)
 
 
